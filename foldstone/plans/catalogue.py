@@ -275,4 +275,5 @@ def crc_variants(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stream_refcount(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
-    return run_available(spark, event_ops(spark.readStream.schema(schema).parquet(f"{d}/[e]vents.parquet"))  # a glob, as a stream's plain path has to be a folder)
+    source = f"{d}/[e]vents.parquet"  # a glob, as a stream's plain path has to be a folder
+    return run_available(spark, event_ops(spark.readStream.schema(schema).parquet(source)))
