@@ -173,7 +173,7 @@ def bloom_probe_skip_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def route_owner_inside(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("seq", _key().alias("h"), routing.owner(_key(), NEAREST).alias("channel"))
+    return _pages(spark, d).select("seq", _key().alias("h"), F.coalesce(routing.owner(_key(), NEAREST), F.lit(-1)).alias("channel"))
 
 
 def _routed(spark: SparkSession, d: str, t: routing.RoutingTable) -> DataFrame:

@@ -117,7 +117,7 @@ SQL: dict[str, str] = {
     "bloom_masks": f"WITH {DOCS}, {FPS} SELECT fingerprint, {BUCKET} AS bucket, {MASK} AS mask FROM fps",
     "bloom_filter_per_bucket": f"WITH {FILTERS} SELECT * FROM flt",
     "bloom_probe_skip_rate": f"WITH {FILTERS} SELECT count(*) AS probes, count(*) FILTER (WHERE (coalesce(bloom, 0) & {MASK}) <> {MASK}) AS skipped FROM ops LEFT JOIN flt ON bucket = {BUCKET} WHERE op <> 'WRITE2FREE'",
-    "route_owner_inside": f"WITH {DOCS} SELECT seq, {KEY}::INT AS h, {owner(KEY, NEAREST)}::INT AS channel FROM pg",
+    "route_owner_inside": f"WITH {DOCS} SELECT seq, {KEY}::INT AS h, coalesce({owner(KEY, NEAREST)}, -1)::INT AS channel FROM pg",
     "route_nearest": f"WITH {DOCS} SELECT seq, {KEY}::INT AS h, ({channel(KEY, NEAREST)})::INT AS channel, {node_of(channel(KEY, NEAREST), NEAREST)}::INT AS node_idx FROM pg",
     "route_chord": f"WITH {DOCS} SELECT seq, {KEY}::INT AS h, ({channel(KEY, CHORD)})::INT AS channel, {node_of(channel(KEY, CHORD), CHORD)}::INT AS node_idx FROM pg",
     "route_result_nearest": f"SELECT event_id AS seq, (user_id % 16)::INT AS dst_node, ({result('(user_id % 16)', NEAREST)})::INT AS channel FROM events",
