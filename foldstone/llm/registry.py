@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foldstone.llm import html_extract, quality_rules, sharding, token_counts
+from foldstone.llm import html_extract, mixing, nearest, packing, quality_classifier, quality_rules, sharding, token_counts
 from foldstone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,21 +23,43 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, d, "documents"))
+
+
 @query
 def op2_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts.token_counts(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
+@query
+def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    mixed = mixing.mix(docs, mixing.word_tokens("text"), [mixing.source_domain("source"), F.col("lang"), F.col("source")])
+    return mixed.select("doc_id", F.col("_level0").alias("domain"), F.col("_level1").alias("lang"), F.col("_level2").alias("source"), "n_tokens", "epoch", "leaf_offset")
+
+
 @query
 def op5_html_extraction(spark: SparkSession, d: str) -> DataFrame:
     return html_extract.extract(table(spark, d, "pages"))
 
 
+@query
+def op7_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(table(spark, d, "documents"))
 
 
+@query
+def op9_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return nearest.search(table(spark, d, "embeddings"))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.judged(table(spark, d, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
