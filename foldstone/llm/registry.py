@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldstone.llm import html_extract, mixing, nearest, packing, quality_classifier, quality_rules, sharding, token_counts
+from foldstone.llm import html_extract, mixing, near_dedup, nearest, packing, quality_classifier, quality_rules, sharding, token_counts
 from foldstone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_level0").alias("domain"), F.col("_level1").alias("lang"), F.col("_level2").alias("source"), "n_tokens", "epoch", "leaf_offset")
 
 
+@query
+def op4_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, d, "documents"))
+
+
 @query
 def op5_html_extraction(spark: SparkSession, d: str) -> DataFrame:
     return html_extract.extract(table(spark, d, "pages"))
