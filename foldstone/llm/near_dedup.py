@@ -140,7 +140,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     near = stored(components(candidates(sigs)), "candidates")
     sizes = near.groupBy("root").agg(F.count("*").alias("size"))
     members = stored(near.join(sizes, "root").join(first, "node").select(F.col("root").alias("group"), "node", "size", "_first"), "members")
-    texts = base.join(members.select("group", "size", F.col("node").alias("_n"), "_first"), (F.col("node") == F.col("_n")) & F.col("_key").eqNullSafe(F.col("_first"))).select("group", "size", "node", "_text")
+    # Merged by sorting at any size: the list of members grows with the corpus, so it is no side to broadcast.
+    texts = base.hint("merge").join(members.select("group", "size", F.col("node").alias("_n"), "_first"), (F.col("node") == F.col("_n")) & F.col("_key").eqNullSafe(F.col("_first"))).select("group", "size", "node", "_text")
     links = grouped_edges(blocked(texts, "group", "node", F.col("size")).drop("size"), ["group", "_i", "_j"], "node", "_text", lambda t: np.unique(shingles(t.split())), _verified)
     roots = components(links)
     of_node = first.join(roots, "node", "left").select("node", "_first", F.coalesce("root", "node").alias("root"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldstone.llm import html_extract, mixing, near_dedup, nearest, packing, quality_classifier, quality_rules, sharding, token_counts
+from foldstone.llm import html_extract, mixing, near_dedup, nearest, packing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
 from foldstone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +51,11 @@ def op5_html_extraction(spark: SparkSession, d: str) -> DataFrame:
     return html_extract.extract(table(spark, d, "pages"))
 
 
+@query
+def op6_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, d, "documents"))
+
+
 @query
 def op7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -71,3 +77,4 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["op10_quality_rules"] = quality_rules.sql()
+QUERIES["pipeline"] = corpus_pipeline.run
