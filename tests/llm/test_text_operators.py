@@ -1,0 +1,183 @@
+"""Token counts, extraction, packing, rules, classifier: against the libraries, brute force and held-out labels."""
+
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from foldstone.llm import html_extract, packing, quality_classifier, quality_rules, token_counts
+
+MODEL, BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
+DATA = "/root/testdata/sf0.001"
+ODD = [None, "", " ", "\n\n", "<s> a</s>▁", "  two  spaces ", "漢字 🙂\x00\x85", "x" * 20_000, "the cat " * 5_000]
+
+
+def frame(spark, texts, more=""):
+    rows = [(i, t, i, "fr" if i % 2 else None, "s") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, size int, lang string, source string")
+
+
+PIECES = st.lists(st.sampled_from([" ", "  ", "▁", "\n", "\t", "a", "the", " the", "É", "漢", "🙂", "'s", "12", "²", "!!", "<s>", "<|endoftext|>", "\xa0", "\x85", "\r"]), max_size=14).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(PIECES, st.integers(0, 8))
+def test_prefix_counts_are_those_of_the_library(text, budget):
+    lib, c = sentencepiece.SentencePieceProcessor(model_file=MODEL), token_counts.counter(MODEL)
+    assert c.splits
+    table = c.table(text)
+    want = [len(lib.encode(text[:i])) for i in range(len(text) + 1)]
+    assert [c.count_at(text, table, i) for i in range(len(text) + 1)] == want
+    assert c.longest_prefix(text, table, budget) == max(i for i, n in enumerate(want) if n <= budget)
+
+
+def test_token_counts_of_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(frame(spark, ODD).select((F.col("doc_id") - 100).alias("doc_id"), "text"))
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = token_counts.token_counts(docs, MODEL, 100).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r["doc_id"]]
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), len(lib.encode(t)), len(lib.encode(t)) > 100)
+        assert len(lib.encode(t[: r["fit_chars"]])) <= 100
+    assert token_counts.prefix_tables(docs.limit(0), MODEL).count() == 0
+    table = token_counts.prefix_tables(docs.filter("doc_id = 3"), MODEL).first()
+    assert table["ends"][-1] == len(texts[3]) and table["tokens"][-1] == len(lib.encode(texts[3]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(PIECES)
+def test_ids_are_those_of_the_library(text):
+    w = packing.writer(BPE)
+    assert w.fast is not None
+    assert w.ids(text) == np.array(Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_round_trip(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(frame(spark, ODD).select((F.col("doc_id") - 100).alias("doc_id"), "text"))
+    lib, size = Tokenizer.from_file(BPE), 256
+    got = packing.packed(docs, BPE, 1, size).toPandas()
+    by_doc = dict(list(got.sort_values("start").groupby("doc_id")))
+    for r in docs.collect():
+        ids, at = [*lib.encode(r["text"] or "", add_special_tokens=False).ids, 1], 0
+        for p in by_doc[r["doc_id"]].itertuples():
+            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(np.array(ids[at : at + p.length], "<u4").tobytes())
+            at += p.length
+        assert at == len(ids)
+    ordered = got.sort_values(["sequence_id", "offset"])
+    assert (ordered.groupby("sequence_id")["length"].cumsum() - ordered["length"] == ordered["offset"]).all()
+    assert ordered.groupby("sequence_id")["length"].sum().max() <= size
+    assert sorted(set(got["sequence_id"])) == list(range(got["sequence_id"].nunique()))
+    twice = packing.packed(docs.limit(5).unionByName(docs.limit(5)), BPE, 1, size)
+    assert twice.select("sequence_id", "offset").distinct().count() == twice.count()
+    assert packing.packed(docs.limit(0), BPE).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 500), max_size=30))
+def test_shortest_pack_first_places_every_piece(histogram):
+    patterns = packing.shortest_pack_first(histogram, 64)
+    placed = {}
+    for lengths, n in patterns:
+        assert 0 < sum(lengths) <= 64
+        for x in lengths:
+            placed[x] = placed.get(x, 0) + n
+    assert placed == histogram
+    table = packing.ranges(patterns)
+    seen = set()
+    for length, n in histogram.items():
+        mine = table[table[:, 0] == length]
+        for rank in range(n):
+            row = mine[np.searchsorted(mine[:, 1], rank, "right") - 1]
+            spot = (row[2] + rank - row[1], row[3])
+            assert spot not in seen
+            seen.add(spot)
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
+<header><h1>Site</h1></header><nav><ul><li><a href="/a">A</a></li></ul></nav><!-- <p>no</p> --><div class="cookie-notice"><p>We use cookies</p></div>
+<div class="ad">Buy &amp; save</div><article><h1>Title &lt;1&gt;</h1><p>First  <b>bold</b>\n text&nbsp;here.<br>More<p>Short.<form><p>Mail</p><input></form>
+<aside>Aside</aside><p>Last &eacute; &#233; &#x41;</p><section class="comments"><p>Nice!</p></section></article><footer>&copy; F</footer>"""
+
+
+def test_extraction_keeps_the_article_only():
+    assert html_extract.main_text(PAGE) == "Title <1>\n\nFirst bold text here. More\n\nShort.\n\nLast é é A"
+
+
+def test_extraction_without_an_article_finds_the_surge():
+    body = "".join(f"<p>{w * 40}</p>" for w in ("alpha ", "beta ", "gamma "))
+    page = f"<body><div><a href=x>one</a></div><div><a href=y>two</a></div><ul><li><a>three</a></li></ul><br><hr>{body}<hr><hr><hr><hr><div><a>four</a></div></body>"
+    assert html_extract.main_text(page) == "\n\n".join((w * 40).strip() for w in ("alpha ", "beta ", "gamma "))
+
+
+@pytest.mark.parametrize("page", [None, "", "<", "<p", "text only", "<article>", "<article><p>a", "<nav>x<article><p>a</p></article>", "<div class='ad'><div>x</div>", "</p></article>" * 50, "<!-- ", "<script>"])
+def test_extraction_survives(page):
+    assert html_extract.main_text(page) in ("", "a")
+
+
+def test_extraction_of_a_table(spark):
+    rows = [(1, "u", PAGE, 5), (2, None, None, 6), (2, None, None, 6), (None, "v", "", 7)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, len(html_extract.main_text(PAGE))), (2, 0), (2, 0)]
+
+
+def brute_measure(text):
+    words = [w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", text)]
+    tri = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    hit = {i + k for i, t in enumerate(tri) if tri.count(t) > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if __import__("re").search(r"[^\x20\x09-\x0D]", x)]
+    dup = sum(x in lines[:i] for i, x in enumerate(lines))
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(hit)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([" ", "\n", "a", "b", "é", "#", "\x0b", "\x1c", "\xa0", "a b c ", "X!"]), max_size=40).map("".join))
+def test_measures(text):
+    assert quality_rules.measure(text)[:5] == brute_measure(text)
+
+
+def test_rules_on_odd_rows(spark):
+    docs = frame(spark, [*ODD, *["word%d text here " % i * 1 + " ".join(f"w{j * i % 97}q{j}" for j in range(80)) for i in range(40)]])
+    got = {r["doc_id"]: r for r in quality_rules.judged(docs).collect()}
+    assert len(got) == len(ODD) + 40
+    assert all(got[i]["base_failed"] and not got[i]["kept"] for i in range(len(ODD)))
+    assert all(got[i]["kept"] for i in range(len(ODD), len(ODD) + 40))
+    assert quality_rules.judged(docs.limit(0)).count() == 0
+
+
+def test_sketches_merge_and_bound_the_error(spark):
+    r = random.Random(2)
+    values = [int(r.lognormvariate(5, 2)) for _ in range(3000)]
+    got = [x["b"] for x in spark.createDataFrame([(v,) for v in values], "v long").select(quality_rules.bucket(F.col("v")).alias("b")).collect()]
+    assert all(b <= v and v - b <= max(0, v / 64) for v, b in zip(values, got, strict=True))
+
+
+def test_classifier_agrees_with_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = quality_classifier.classify(docs).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
+    right = (got["keep"] == (got["quality"] == 1)).mean()  # no label was used
+    assert right > 0.95 and got.loc[got["quality"] == 1, "keep"].mean() > 0.97
+    odd = quality_classifier.classify(frame(spark, ODD))
+    assert odd.count() == len(ODD)
+    assert quality_classifier.classify(docs.limit(0)).count() == 0
+
+
+def test_em_finds_the_accuracies():
+    r = np.random.default_rng(1)
+    n, m = 20_000, len(quality_classifier.LABELLERS)
+    truth = r.random(n) < 0.8
+    accuracy = np.linspace(0.7, 0.95, m)
+    votes = np.where(r.random((n, m)) < 0.3, 0, np.where((r.random((n, m)) < accuracy) == truth[:, None], 2, 1))
+    code = (votes * 3 ** np.arange(m - 1, -1, -1)).sum(1)
+    codes, counts = np.unique(code, return_counts=True)
+    post, table, share = quality_classifier.em(codes, counts.astype(float))
+    found = np.array(list(quality_classifier.accuracies(table, share).values()))
+    assert np.abs(found - accuracy).max() < 0.04 and abs(share - 0.8) < 0.03
