@@ -188,7 +188,8 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         got = [h.vector(t) for t in ts]
         return [pa.array(map(votes, ts), pa.int32()), pa.array([b.tobytes() for b, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary())]
 
-    chosen = base.withColumn("_h", F.xxhash64("_key")).orderBy("_h", "_key").limit(TRAIN).select("_text")
+    least = voted.select("_key").distinct().orderBy(F.xxhash64("_key"), "_key").limit(TRAIN).withColumnRenamed("_key", "_chosen")
+    chosen = base.join(F.broadcast(least), F.col("_key").eqNullSafe(F.col("_chosen")), "left_semi").select("_text").limit(TRAIN)  # TRAIN ids
     sample = _mapped(chosen, "_text", "pattern int, buckets binary, weights binary", hashed).collect()
     weights = train([(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["weights"], np.float32)) for r in sample], np.array([posterior[r["pattern"]] for r in sample]))
     model = spark.sparkContext.broadcast(weights)  # 2 ** BITS + 1 floats
