@@ -3,7 +3,8 @@
 Vectors are dealt to cells by k-means, and what is left of them after their cell's centre is quantised: two dimensions
 to a 4-bit code, under a loss that weighs the error along the vector ETA times that across it, as only the former moves
 large inner products. A query's tables hold its products with all codewords; scans of two codes a byte through them
-give estimates, the best SHORTLIST of each block are scored exactly, and the best k of all blocks remain.
+give estimates. Of each block all entries are scored exactly whose estimate is at most REACH standard errors under the
+k-th best one (however many: in a dense cluster estimates cannot tell entries apart), and the best k of all remain.
 
 The model is fitted on SAMPLE rows at most (those of least hash); every row is indexed. Cells are probed in order of
 the query's product with their centres; how many is the least number that held TARGET of the sample's true neighbours
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from foldstone.llm.common import stored
 
 SAMPLE, CELLS, TARGET = 20_000, 1024, 0.985
-BLOCK, QBLOCK, SHORTLIST = 8192, 4096, 256
+BLOCK, QBLOCK, REACH = 8192, 4096, 3.0
 #: Inner products that count as large are over THRESHOLD times the norm.
 THRESHOLD = 0.2
 ROUNDS, WORDS = 6, 16
@@ -74,6 +75,7 @@ class Model:
         for _ in range(ROUNDS):
             self._refit(rest, unit, self._codes(rest, unit))
         self.probes = self._probes(x, k)
+        self.error = self._error(x)
 
     def cell(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.centres.T - 0.5 * (self.centres**2).sum(1)).argmax(1)
@@ -135,6 +137,11 @@ class Model:
         ranks = np.sort(np.take_along_axis(place, self.cell(x)[top], 1).ravel())
         return int(ranks[min(len(ranks) - 1, int(np.ceil(TARGET * len(ranks))))]) + 1
 
+    def _error(self, x: np.ndarray) -> float:
+        """Standard error of an estimate, for queries of length 1."""
+        part, q = x[:4000], x[:200] / np.linalg.norm(x[:200], axis=1, keepdims=True)
+        return float((self.scan(q, *self.encode(part)) - q @ part.T).std())
+
     def probed(self, q: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
         """(queries, cells): whether a cell is probed; on beyond `probes` until the cells hold `least` entries."""
         order = np.argsort(-(q @ self.centres.T), 1, "stable")
@@ -230,13 +237,14 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", v
             cells, codes, x = have["cell"].to_numpy(), _matrix(have["codes"], np.uint8), _matrix(have["vec"], "<f8")
             ids, keys = list(have["ids"]), list(want["_k"])
             q = _matrix(want["vec"], "<f8")
-            short = min(max(SHORTLIST, k + 1), len(x))
+            short = min(k + 1, len(x))
+            lengths = np.linalg.norm(q, axis=1)
             for s in range(0, len(q), 64):
                 part = q[s : s + 64]
                 got = np.where(model.probed(part, sizes, least)[:, cells], model.scan(part, cells, codes), -np.inf)
-                top = np.argpartition(-got, short - 1, 1)[:, :short]
-                for i, row in enumerate(top):
-                    row = np.sort(row[np.isfinite(got[i, row])])
+                least_good = -np.partition(-got, short - 1, 1)[:, short - 1] - REACH * model.error * lengths[s : s + 64]
+                for i, bar in enumerate(least_good):
+                    row = np.flatnonzero((got[i] >= bar) & np.isfinite(got[i]))
                     exact = (x[row] * part[i]).sum(1)
                     took = 0
                     for j in np.lexsort((row, -exact)):
