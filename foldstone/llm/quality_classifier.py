@@ -26,6 +26,8 @@ from foldstone.llm.quality_rules import measure
 
 TRAIN, BITS, EPOCHS, BATCH, RATE, DECAY = 6_000, 18, 6, 128, 0.5, 1e-6
 CACHE = 300_000
+#: Words from which on a text counts in full.
+FULL = 40
 #: Frequent function words of the corpus' languages: fixed values.
 STOP = frozenset("the of and to in is it that was for on are with as de la le les des et un une que en el los las y der die das und ist nicht mit von zu den".split())
 
@@ -124,7 +126,7 @@ class Hasher:
         return got
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(buckets, weights), of length 1."""
+        """(buckets, weights), of length 1; of less for texts under FULL words, which are less evidence."""
         words = text.split()
         if not words:
             return np.zeros(0, np.int32), np.zeros(0, np.float32)
@@ -132,7 +134,7 @@ class Hasher:
         flat += [self.again] * (len(words) - len(set(words)))
         buckets, n = np.unique(np.array(flat, np.int32), return_counts=True)
         x = np.sqrt(n).astype(np.float32)
-        return buckets, x / np.sqrt((x * x).sum())
+        return buckets, x * np.float32(min(1.0, len(words) / FULL) / np.sqrt((x * x).sum()))
 
 
 def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
