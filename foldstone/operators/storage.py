@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldstone.functions.fingerprint import bucket_index
 from foldstone.operators.refcount import is_exec, mixed, with_fresh_lba
 
 
-def responses(ops: DataFrame, node: Column) -> DataFrame:
-    """One row per operation. Erases and reads show start and data node 0, as their instructions carry none."""
+def responses(ops: DataFrame, node: Column, state: DataFrame | None = None, start: int = 1) -> DataFrame:
+    """One row per operation. Erases and reads show start and data node 0, as their instructions carry none.
+
+    state is the fingerprint table that earlier operations left, start the first address none of them used.
+    """
     write = F.col("op") == "WRITE2FREE"
-    full = with_fresh_lba(mixed(ops))
+    full = with_fresh_lba(mixed(ops, state), state, start)
     return full.select(
         "seq",
         "fingerprint",
@@ -37,6 +41,14 @@ def ssd_commands(resp: DataFrame) -> DataFrame:
     return resp.filter("hit").select("seq", "fingerprint", "ref_count", F.col("host_data_node").alias("ssd_node"), F.col("ssd_lba").alias("ssd_lba_start"), F.lit(1).cast("long").alias("ssd_lba_len"), "node_idx", kind.alias("ssd_op"))
 
 
+def fp_table(resp: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Live entries after the operations of resp: those of state that they left alone, and what the others came to."""
+    last = resp.filter("hit").groupBy("fingerprint").agg(F.max_by("ref_count", "seq").alias("ref_count"), F.max_by("ssd_lba", "seq").alias("ssd_lba"), F.max("node_idx").alias("node_idx"))
+    now = last.select("fingerprint", "ref_count", "ssd_lba", bucket_index(F.col("fingerprint")).alias("bucket"), "node_idx")
+    out = now.filter("ref_count > 0")
+    return out if state is None else out.unionByName(state.join(now, "fingerprint", "left_anti"))
+
+
 def unique_pages(pages: DataFrame) -> DataFrame:
     """First page of every fingerprint. Only (fingerprint, seq) is aggregated; the bytes are joined back once."""
     first = pages.groupBy("fingerprint").agg(F.min("seq").alias("seq"))

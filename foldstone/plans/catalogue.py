@@ -19,8 +19,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Expected entries of a bucket.
 BUCKET_SIZE = 8
-#: Pages of seq that one task numbers.
-SEQ_BLOCK = 1 << 30
 
 
 def query(f: Query) -> Query:
@@ -121,7 +119,7 @@ def unique_pages_store(spark: SparkSession, d: str) -> DataFrame:
 @query
 def alloc_fresh_lba(spark: SparkSession, d: str) -> DataFrame:
     firsts = _pages(spark, d).groupBy("fingerprint").agg(F.min("seq").alias("seq"))
-    return row_numbers(firsts, F.floor(F.col("seq") / SEQ_BLOCK), [F.col("seq")], "ssd_lba")
+    return row_numbers(firsts, F.floor(F.col("seq") / refcount.PAGE_BLOCK), [F.col("seq")], "ssd_lba")
 
 
 @query
@@ -131,8 +129,7 @@ def alloc_recycled_lba(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fp_table_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    final = responses_full(spark, d).filter("hit").groupBy("fingerprint").agg(F.max_by("ref_count", "seq").alias("ref_count"), F.max_by("ssd_lba", "seq").alias("ssd_lba"), F.max("node_idx").alias("node_idx"))
-    return final.filter("ref_count > 0").select("fingerprint", "ref_count", "ssd_lba", bucket_index(F.col("fingerprint")).alias("bucket"), "node_idx")
+    return storage.fp_table(responses_full(spark, d))
 
 
 @query

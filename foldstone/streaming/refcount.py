@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -11,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from foldstone.sources.shared import shared_folder
+
 OUT = "seq long, op string, fingerprint string, ref_count long, hit boolean"
 
 
@@ -31,12 +31,6 @@ def counted_stream(ops: DataFrame) -> DataFrame:
     return ops.select("seq", "op", "fingerprint").groupBy("fingerprint").applyInPandasWithState(_step, OUT, "total long, low long", "append", GroupStateTimeout.NoTimeout)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def run_available(spark: SparkSession, ops: DataFrame) -> DataFrame:
     """Runs the stream over what is there, and reads its parquet sink again."""
     top = shared_folder(spark)
