@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 OPS = ("NOP", "WRITE2FREE", "ERASEREF", "READSSD")
 LIVE_OPS = OPS[1:]
@@ -49,11 +49,3 @@ NEAREST = RoutingTable(((61440, 8192, 12), (4096, 4096, 11), (45056, 16384, 13),
 CHORD = RoutingTable(((61440, 8192, 3), (4096, 4096, 4), (8192, 12288, 5), (32768, 4096, 7)), "chord")
 #: Four nodes that own a quarter each; every one knows itself and its next neighbour clockwise.
 HOP_NODES = {n: RoutingTable(((n * 16384, 16384, n), ((n + 1) % 4 * 16384, 16384, (n + 1) % 4)), "chord") for n in range(4)}
-
-
-@dataclass(frozen=True)
-class Engine:
-    """What a caller sets once."""
-
-    config: DedupConfig = field(default_factory=DedupConfig)
-    routing: RoutingTable = NEAREST

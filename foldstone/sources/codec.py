@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from foldstone.config import OPS
 
@@ -54,3 +54,22 @@ def split_stream(data: bytes, page_size: int = 4096) -> Iterator[tuple[dict, lis
         if instr["op"] != "NOP":
             yield instr, [data[at + i * page_size : at + (i + 1) * page_size].ljust(page_size, b"\0") for i in range(n)]
         at += n * page_size
+
+
+def host_streams(spark: SparkSession, path: str, page_size: int = 4096) -> DataFrame:
+    """Merged host streams, one file each: (path, instr, page_no, op, host_lba, host_data_node, fingerprint, page_data).
+
+    A write gives a row for each of its pages, at consecutive addresses modulo 2^32, and none if it has no pages; its
+    fingerprint is null until the page is hashed. Files are read in parallel, each by one task.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, content in zip(part["path"], part["content"], strict=True):
+                for i, (instr, pages) in enumerate(split_stream(bytes(content), page_size)):
+                    cut: list[bytes | None] = [*pages] if instr["op"] == "WRITE2FREE" else [None]
+                    rows = [(name, i, k, instr["op"], instr["start"] + k & _LOW, instr["node"], instr["fingerprint"], p) for k, p in enumerate(cut)]
+                    yield pd.DataFrame(rows, columns=["path", "instr", "page_no", "op", "host_lba", "host_data_node", "fingerprint", "page_data"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, instr long, page_no int, op string, host_lba long, host_data_node long, fingerprint string, page_data binary")

@@ -6,14 +6,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldstone.config import CHORD, HOP_NODES, NEAREST, RoutingTable
+from foldstone.engine import DedupEngine
 from foldstone.functions.crc import VARIANTS, crc_hex
 from foldstone.functions.fingerprint import bloom_mask, bucket_index, routing_key, sha3_256_hex, sha3_512_hex
 from foldstone.functions.numbering import row_numbers
 from foldstone.operators import bloom, refcount, routing, storage
-from foldstone.operators.allocator import allocate
+from foldstone.operators.allocator import allocate, recycled_lba
 from foldstone.sources import codec
+from foldstone.sources.shared import shared_folder
 from foldstone.sources.tables import page_chunks
-from foldstone.streaming.refcount import counted_stream, shared_folder
+from foldstone.streaming.refcount import counted_stream
 from tests import model
 
 
@@ -172,3 +174,61 @@ def test_stream_over_two_batches_equals_batch(spark):
     q.awaitTermination()
     got = {(r["seq"], r["ref_count"], r["hit"]) for r in spark.read.parquet(f"{top}/out").collect()}
     assert got == {(r["seq"], r["ref_count"], r["hit"]) for r in refcount.mixed(frame).collect()} and len(got) == 600
+
+
+@pytest.mark.parametrize("block", [1, 7, 100])
+def test_a_hot_fingerprint_is_counted_in_blocks(spark, block):
+    ops = stream(700, 2, 11)
+    frame = ops_frame(spark, ops)
+    full = refcount.with_fresh_lba(refcount.mixed(frame, block=block), block=block)
+    got = {r["seq"]: (r["ref_count"], r["ssd_lba"], r["hit"]) for r in full.collect()}
+    assert got == {w["seq"]: (w["ref_count"], w["ssd_lba"], w["hit"]) for w in model.run(ops)}
+    counts = {r["seq"]: r["ref_count"] for r in refcount.write_only(frame.select("seq", "fingerprint"), block).collect()}
+    seen = {}
+    for s, _, f in ops:
+        seen[f] = seen.get(f, 0) + 1
+        assert counts[s] == seen[f]
+
+
+def test_recycled_addresses_are_those_of_the_sequential_pools(spark):
+    ops = stream(900, 30, 4)
+    node = F.pmod(F.conv(F.substring("fingerprint", 1, 2), 16, 10).cast("int"), F.lit(3))
+    counted = refcount.mixed(ops_frame(spark, ops))
+    got = recycled_lba(counted, node, 100).orderBy("seq").collect()
+    for n in {r["node_idx"] for r in got}:
+        mine = [r for r in got if r["node_idx"] == n]
+        assert [r["ssd_lba"] for r in mine] == allocate([(r["fingerprint"], r["kind"] == "alloc") for r in mine], 100)
+    with pytest.raises(Exception, match="indices are in use"):
+        recycled_lba(counted, F.lit(0), 2).collect()
+
+
+def test_the_engine_goes_on_where_the_last_batch_ended(spark):
+    ops = stream(600, 25, 9)
+    engine = DedupEngine(spark, shared_folder(spark))
+    engine.clear()
+    want, got = model.run(ops), []
+    for lo in (0, 250, 400):
+        part = [o for o in ops if lo <= o[0] < {0: 250, 250: 400, 400: 600}[lo]]
+        frame = ops_frame(spark, [(s - lo, o, f) for s, o, f in part])
+        resp = engine.run(frame, frame.filter("op = 'WRITE2FREE'").select("seq", F.encode("fingerprint", "utf-8").alias("page_data")))
+        got += [(r["seq"] + lo, r["ref_count"], r["ssd_lba"]) for r in resp.collect()]
+        assert engine.commands().count() == resp.filter("hit").count()
+    assert sorted(got) == [(w["seq"], w["ref_count"], w["ssd_lba"]) for w in want]
+    live = {}
+    for (_, _, f), w in zip(ops, want, strict=True):
+        live[f] = (w["ref_count"], w["ssd_lba"])
+    live = {f: x for f, x in live.items() if x[0]}
+    assert {r["fingerprint"]: (r["ref_count"], r["ssd_lba"]) for r in engine.table().collect()} == live
+    pages = engine.pages().collect()
+    assert {(r["ssd_lba"], bytes(r["page_data"]).decode()) for r in pages} == {(x[1], f) for f, x in live.items()} and len(pages) == len(live)
+    engine.clear()
+    assert engine.table().count() == 0 and engine.pages().count() == 0
+
+
+def test_host_streams_become_sliced_operations(spark, tmp_path):
+    fp = hashlib.sha256(b"x").hexdigest()
+    data = codec.pack_instruction("WRITE2FREE", 0xFFFFFFFF, 2, 77) + b"a" * 4096 + b"b" * 100 + bytes(3996) + codec.pack_instruction("NOP") + codec.pack_instruction("WRITE2FREE", 9, 0, 1)
+    (tmp_path / "s.bin").write_bytes(data + codec.pack_instruction("ERASEREF", fingerprint=fp))
+    got = codec.host_streams(spark, f"file://{tmp_path}/s.bin").orderBy("instr", "page_no").collect()
+    assert [(r["op"], r["page_no"], r["host_lba"], r["host_data_node"], r["fingerprint"]) for r in got] == [("WRITE2FREE", 0, 0xFFFFFFFF, 77, None), ("WRITE2FREE", 1, 0, 77, None), ("ERASEREF", 0, 0, 0, fp)]
+    assert bytes(got[1]["page_data"]) == b"b" * 100 + bytes(3996)
