@@ -230,6 +230,28 @@ def test_repeated_passages_are_found_and_one_copy_stays(spark):
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_a_text_linked_once_is_found_at_its_other_places():
+    def context(*b):
+        return int.from_bytes(bytes(b), "little", signed=True)
+
+    link = substring_dedup.Linker()
+    assert link.add(1, context(1, 2, 0, 0, 0, 0, 0, 0)) == (set(), True)
+    assert link.add(2, context(1, 2, 3, 4, 5, 6, 7, 8)) == ({1}, True)
+    assert link.add(3, context(0, 0, 0, 0, 5, 6, 7, 8)) == ({2}, False)
+
+
+def test_parts_of_a_longer_passage_are_found(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(0, 180, 3):
+        p = words(r, 100)
+        parts = (p[:60], p, p[40:])
+        rows += [(i + k, " ".join(words(r, 60) + part + words(r, 60))) for k, part in enumerate(parts)]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(x["source"], x["doc_id"]) for x in got}
+    assert all((i, i + 1) in found and (i + 1, i + 2) in found for i in range(0, 180, 3))
+
+
 def test_near_passages_are_found(spark):
     r = random.Random(9)
     p = words(r, 200)
