@@ -38,6 +38,11 @@ def text_key(text: str) -> Column:
     return F.unhex(F.md5(utf8(text)))
 
 
+def row_key(text: str, *others: str) -> Column:
+    """128 bits that stand for a row: equal for rows that agree in the text and the other columns, nulls included."""
+    return F.unhex(F.md5(F.concat(text_key(text), F.encode(F.to_json(F.struct(*others)), "utf-8"))))
+
+
 def mixed64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -130,8 +130,8 @@ def candidates(sigs: DataFrame) -> DataFrame:
     return grouped_edges(dealt, ["key", "_i", "_j"], "node", "short", lambda x: np.frombuffer(x, "<u2"), _sifted)
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, class_id: every row with the least key of its class of near-duplicates."""
+def _nodes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(_key, node) of every row, and (node, _first, root) of every text: its least key and its class."""
     base = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), text_key(text).alias("node"))
     named = stored(base.select("_key", "node"), "nodes")
     first = named.groupBy("node").agg(F.min("_key").alias("_first"))
@@ -145,12 +145,24 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     links = grouped_edges(blocked(texts, "group", "node", F.col("size")).drop("size"), ["group", "_i", "_j"], "node", "_text", lambda t: np.unique(shingles(t.split())), _verified)
     roots = components(links)
     of_node = first.join(roots, "node", "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
-    of_node = stored(of_node, "classes")
+    return named, stored(of_node, "classes")
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, class_id: every row with the least key of its class of near-duplicates (null if none of it has a key)."""
+    named, of_node = _nodes(docs, key, text)
     ids = of_node.groupBy("root").agg(F.min("_first").alias("class_id"))
     return named.join(of_node.join(ids, "root").select("node", "class_id"), "node").select(F.col("_key").alias(key), "class_id")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each class the row with the least key stays, once."""
-    kept = near_classes(docs, key, text).filter(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([key])
+    """docs without near-duplicates: of each class the row with the least key stays, once.
+
+    A row is its key and text: rows without a key, or with one that other texts have too, are told apart by their texts.
+    """
+    _, of_node = _nodes(docs, key, text)
+    order = F.struct(F.col("_first").isNull().alias("no_key"), F.col("_first").alias("key"), F.col("node").alias("node"))
+    kept = of_node.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.key").alias("_kept"), F.col("x.node").alias("_kept_node"))
+    rows = docs.withColumn("_row_node", text_key(text))
+    stay = rows.join(kept, (F.col("_row_node") == F.col("_kept_node")) & F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    return stay.dropDuplicates([key, "_row_node"]).drop("_row_node")

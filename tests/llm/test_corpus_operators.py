@@ -330,5 +330,26 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0.5 * len(pdf)
 
 
+def test_pipeline_stages_of_odd_tables(spark):
+    """Null and repeated ids: every text keeps its own fate, and no row multiplies."""
+    r = random.Random(3)
+    texts = [" ".join(words(r, 90)) for _ in range(6)]
+    rows = [(None, texts[0], "en", None, 1), (None, texts[1], None, "s1", 2), (None, texts[1], None, "s1", 2), (7, texts[2], "en", "s1", 3), (7, texts[3], "en", "s1", 3)]
+    rows += [(8, None, "en", "s1", None), (9, "", None, None, 0), (None, "junk", "en", "s1", 4), (10, texts[4], "en", "s1", 5), (10, texts[4], "en", "s1", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("epoch", F.lit(5)).withColumn("_id", F.lit(6))
+    good = [x[1] for x in rows if x[1] and len(x[1]) > 10]
+
+    def of(stage):
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        return sorted(x["text"] or "" for x in out.collect())
+
+    assert of(corpus_pipeline.quality) == sorted(good)
+    assert of(corpus_pipeline.near_duplicates) == sorted({*good, "", "junk"})
+    mixed = of(corpus_pipeline.mixture)
+    assert set(mixed) <= {*good, "", "junk"} and all(mixed.count(t) <= corpus_pipeline.MAX_EPOCHS * good.count(t) for t in good)
+    assert all(stage(spark, docs.limit(0), DATA).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
 def test_shingles_of_short_texts():
     assert len(shingles([])) == 0 and len(shingles(["a"])) == 1 and shingles(["a", "b"])[0] != shingles(["b", "a"])[0]
