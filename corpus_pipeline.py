@@ -12,18 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldstone.llm import mixing, near_dedup, packing, quality_rules, substring_dedup
-from foldstone.llm.common import stored, table
+from foldstone.llm.common import row_key, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Most tokens, as a multiple of the source's, that mixing takes of any source.
 MAX_EPOCHS = 2
+#: Names, that no table has, of a row's digest and of those that a stage picks.
+ROW, PICKED = "_pipeline_row", "_pipeline_picked"
+
+
+def rows(docs: DataFrame) -> DataFrame:
+    """docs with ROW: rows are told apart by all that a decision depends on, so null or repeated ids mix nothing up."""
+    return docs.withColumn(ROW, row_key("text", "doc_id", "lang", "source"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    kept = quality_rules.judged(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    named = rows(docs)
+    kept = quality_rules.judged(named, ROW).filter("kept").select(F.col(ROW).alias(PICKED)).distinct()
+    return named.join(kept, F.col(ROW) == F.col(PICKED), "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +45,14 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many tokens as there are, dealt to sources by the square root of their size; small ones come up to twice."""
+    """As many tokens as there are, dealt to sources by the square root of their size; small ones come up to twice.
+
+    Rows that repeat id, language, source and text are picked together, once in each epoch that picks one of them.
+    """
     levels = [mixing.source_domain("source"), F.col("lang"), F.col("source")]
-    picked = mixing.mix(docs, mixing.word_tokens("text"), levels, max_epochs=MAX_EPOCHS).select(F.col("doc_id").alias("_id"))
-    return docs.join(picked, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns)
+    named = rows(docs)
+    picked = mixing.mix(named, mixing.word_tokens("text"), levels, max_epochs=MAX_EPOCHS, key=ROW).select(F.col(ROW).alias(PICKED), "epoch").distinct().drop("epoch")
+    return named.join(picked, F.col(ROW) == F.col(PICKED)).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
