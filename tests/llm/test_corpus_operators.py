@@ -252,6 +252,32 @@ def test_parts_of_a_longer_passage_are_found(spark):
     assert all((i, i + 1) in found and (i + 1, i + 2) in found for i in range(0, 180, 3))
 
 
+def variants(r, passage, count):
+    """Variants with edits spread so that none has Jaccard 0.8 to the passage as a whole."""
+    out = []
+    for _ in range(count):
+        v = list(passage)
+        for at in (r.randrange(12, 28), r.randrange(34, 48)):
+            v[at] = words(r, 1)[0]
+        out.append(v)
+    return out
+
+
+def test_exact_passages_in_families_of_variants_are_found(spark):
+    r = random.Random(21)
+    rows, want = [], set()
+    for k in range(40):
+        p = words(r, 60)
+        family = [*variants(r, p, 40), p, p]
+        rows += [(100 * k + i, " ".join(words(r, 20) + v + words(r, 20))) for i, v in enumerate(family)]
+        want.add((100 * k + 41, " ".join(p)))
+    text = dict(rows)
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    found = {(x["doc_id"], " ".join(text[x["doc_id"]].split()[x["start_word"] : x["end_word"]])) for x in got}
+    missed = {d for d, p in want if not any(d == e and p in t for e, t in found)}
+    assert len(missed) == 0
+
+
 def test_near_passages_are_found(spark):
     r = random.Random(9)
     p = words(r, 200)
