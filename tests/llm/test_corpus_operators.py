@@ -278,6 +278,47 @@ def test_exact_passages_in_families_of_variants_are_found(spark):
     assert len(missed) == 0
 
 
+def test_passages_with_lines_that_recur_in_the_earlier_text_are_found():
+    r = random.Random(22)
+    p = words(r, 62)
+    line = p[25:37]
+    texts = [(line + words(r, 40) + p + words(r, 20), p)]
+    lines = [words(r, 12) for _ in range(5)]
+    recur = [w for a, b in zip(lines, lines[1:], strict=False) for w in a + b + words(r, 9)]
+    texts.append((recur + sum(lines, []) + words(r, 20), sum(lines, [])))
+    for early, p in texts:
+        near = [*p[:18], words(r, 1)[0], *p[19:]]
+        for copy in (p, near):
+            late = words(r, 30) + copy + words(r, 30)
+            covered = set()
+            for s, e, a, b in substring_dedup.Earlier(1, " ".join(early)).spans(2, " ".join(late)):
+                assert e - s >= 50 and 30 <= s < e <= 30 + len(p) and (copy == near or late[s:e] == early[a:b])
+                covered |= set(range(s, e))
+            assert covered == set(range(30, 30 + len(p)))
+    own = line + words(r, 40) + texts[0][1] + words(r, 20) + texts[0][1]
+    got = substring_dedup.Earlier(1, " ".join(own)).spans(1, " ".join(own))
+    assert any(s == len(own) - 62 and e == len(own) and own[a:b] == own[s:e] for s, e, a, b in got)
+
+
+def test_pairs_of_texts_of_few_shingles_are_exact():
+    """Every passage of 50 words that two texts share is covered, however their lines recur."""
+    r = random.Random(23)
+    for trial in range(40):
+        lines = [words(r, r.randrange(1, 30)) for _ in range(r.randrange(1, 9))]
+        early, late = ([w for _ in range(r.randrange(2, 40)) for w in r.choice(lines)] for _ in range(2))
+        for own in (False, True):
+            late = early if own else late
+            got = substring_dedup.Earlier(1, " ".join(early)).spans(1 if own else 2, " ".join(late))
+            covered = {i for s, e, _, _ in got for i in range(s, e)}
+            grams = {}
+            for a in range(len(early) - 49):
+                grams.setdefault(tuple(early[a : a + 50]), a)
+            for i in range(len(late) - 49):
+                if grams.get(tuple(late[i : i + 50]), len(late)) < (i if own else len(late)):
+                    assert covered >= set(range(i, i + 50)), trial
+            assert all(a < s for s, _, a, _ in got if own)
+
+
 def test_near_passages_are_found(spark):
     r = random.Random(9)
     p = words(r, 200)
