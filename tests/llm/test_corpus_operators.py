@@ -319,6 +319,19 @@ def test_pairs_of_texts_of_few_shingles_are_exact():
             assert all(a < s for s, _, a, _ in got if own)
 
 
+def test_passages_whose_minima_recur_in_their_texts_are_found(spark):
+    r = random.Random(24)
+    rows = []
+    for k in range(60):
+        passage = words(r, 52)
+        for i in range(2):
+            mixed = [w for at in [*range(0, 48, 12)] * 3 for w in words(r, 45) + passage[at : at + 16]]
+            rows.append((2 * k + i, " ".join(mixed + words(r, 45) + passage + words(r, 45))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x["source"], x["doc_id"]) for x in substring_dedup.repeated_passages(docs).collect()}
+    assert len({(2 * k, 2 * k + 1) for k in range(60)} - got) == 0
+
+
 def test_near_passages_are_found(spark):
     r = random.Random(9)
     p = words(r, 200)
