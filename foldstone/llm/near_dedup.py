@@ -1,14 +1,16 @@
 """MinHash near-dedup (operator 4): ProbMinHash, banding, verification.
 
-Every text is its multiset of five-word shingles, weighted 1 + ln(count). Each shingle is a Poisson process with its
-weight as rate, whose arrivals fall on random registers; a register keeps the shingle that arrived first. Two texts agree
-in a register with the probability Jaccard similarity of their weights. Rounds of arrivals go on only for shingles that
-can still be first somewhere, which ends early for most.
+Every text is its set of five-word shingles. Each shingle is a Poisson process with its weight as rate, whose arrivals
+fall on random registers; a register keeps the shingle that arrived first. Two texts agree in a register with the
+probability Jaccard similarity of their weights. All weights are 1, whatever the counts, so that this is the similarity
+that is verified: a passage repeated in one of two texts takes nothing from their agreement. Rounds of arrivals go on
+only for shingles that can still be first somewhere, which ends early for most.
 
 Registers are banded; texts that share a band meet in a bucket, where all their registers are compared: a pair that
 agrees in SIFT of them or more is a candidate. Components of candidates are then verified, all pairs whose classes
 differ, by the Jaccard similarity of their shingle sets, which has to be THRESHOLD or more. A class is a component of
-verified links. With ROWS registers in each of BANDS bands a pair of similarity 0.8 is missed once in 300,000.
+verified links. With ROWS registers in each of BANDS bands a pair of similarity 0.8 has none in common once in 300,000
+and stays under SIFT about as rarely.
 
 Equal texts are one node from the start, so copies cost nothing later. Null text counts as empty; texts without words
 equal each other only if they are the same characters. Rows that repeat an id and text each get the same class.
@@ -58,8 +60,8 @@ def registers(sets: list[tuple[np.ndarray, np.ndarray]], count: int = REGISTERS)
 
 
 def weighted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    h, n = np.unique(shingles(text.split()), return_counts=True)
-    return h, 1 + np.log(n)
+    h = np.unique(shingles(text.split()))
+    return h, np.ones(len(h))
 
 
 def bands(regs: np.ndarray) -> np.ndarray:

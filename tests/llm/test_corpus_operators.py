@@ -156,6 +156,19 @@ def test_near_classes_are_those_of_brute_force(spark, monkeypatch, block):
         assert near_dedup.near_classes(docs.limit(0)).count() == 0
 
 
+def test_near_copies_with_repeated_passages_are_found(spark):
+    r, texts = random.Random(25), []
+    for times in (1, 5, 50, 50, 50, 200, 200, 200):
+        w = words(r, 100)
+        at = r.randrange(60)
+        texts += [" ".join(w), " ".join(w + w[at : at + 30] * times)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()}
+    want = brute_classes(texts)
+    assert want == [i - i % 2 for i in range(len(texts))]
+    assert sum(got[i] != want[i] for i in range(len(texts))) == 0
+
+
 def test_registers_estimate_probability_jaccard():
     r = np.random.default_rng(5)
     e = r.integers(0, 1 << 62, 400).astype(np.uint64)
