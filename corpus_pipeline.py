@@ -68,7 +68,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", sequences),
 ]
 
-#: SQL can express neither shingle classes nor tokens; tests/llm compares the stages with brute force.
+#: SQL can express neither shingle classes nor tokens; tests/llm compares near-dedup with brute force and holds the other stages to invariants.
 ORACLE_SQL = None
 
 
