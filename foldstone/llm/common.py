@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,8 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that all executors share; a temporary folder only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    """A new path under the folder that all executors share. Only a session without executors of its own, as in tests,
+    gets a temporary folder where none is set; a cluster's executors would not share that."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp()}"
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -29,6 +35,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores before it until no column has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def utf8(text: str) -> Column:
     return F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")
 

@@ -243,14 +243,108 @@ def test_repeated_passages_are_found_and_one_copy_stays(spark):
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
-def test_a_text_linked_once_is_found_at_its_other_places():
-    def context(*b):
-        return int.from_bytes(bytes(b), "little", signed=True)
+def test_the_interval_join_finds_where_enough_functions_agree():
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        h = r.integers(0, 1 << 62, 150).astype(np.uint64)
+        value, lo, c, hi = substring_dedup.compact_windows(h)
+        some = r.random(len(value)) < 0.5
+        first, last = substring_dedup.covered_starts(lo[some], c[some], hi[some])
+        start, stop, values = substring_dedup.regions(value[some], first, last)
+        want = {}
+        for i in range(len(h) - substring_dedup.LEAST + 1):
+            over = {int(v) | 4 for v, a, m, b in zip(value[some], lo[some], c[some], hi[some], strict=True) if a <= i <= m < i + substring_dedup.LEAST <= b + 1}
+            if len(over) >= substring_dedup.ENOUGH:
+                want[i] = over
+        got = {i: {int(v) for v in row if v} for a, b, row in zip(start, stop, values, strict=True) for i in range(a, b)}
+        assert got == want
+
+
+def test_four_hundred_thousand_windows_of_one_value_lose_no_exact_passage(spark):
+    """Texts of one line in many contexts, and pairs among them that share a passage around it."""
+    r = random.Random(31)
+    line, rows = words(r, 30), []
+    for i in range(2000):
+        rows.append((i, " ".join(words(r, 25) + line + words(r, 25))))
+    want = set()
+    for k in range(60):
+        passage = words(r, 12) + line + words(r, 12)
+        for i in (5000 + k, 6000 + k):
+            rows.append((i, " ".join(words(r, 20) + passage + words(r, 20))))
+        want.add((6000 + k, 5000 + k))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert {(x["doc_id"], x["source"]) for x in got} == want and all(x["end_word"] - x["start_word"] == 54 for x in got)
+    # Grouping keeps every window of a value, however many there are.
+    many = spark.range(400_000).select(F.lit(8).cast("long").alias("value"), F.col("id").alias("row"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"), F.lit(False).alias("known"), F.lit(False).alias("alone"), F.lit(None).cast("binary").alias("node"), F.lit(None).cast("long").alias("start_word"))
+    assert substring_dedup.shared(many).count() == 400_000
+
+
+def brute_passages(texts, least=50):
+    """Words of each text that lie in a passage of `least` words that an earlier text, or the text before, has too."""
+    out, seen = [], {}
+    for t in texts:
+        w, covered, mine = t.split(), set(), {}
+        for i in range(len(w) - least + 1):
+            g = tuple(w[i : i + least])
+            if g in seen or g in mine:
+                covered |= set(range(i, i + least))
+            mine.setdefault(g, i)
+        seen.update(mine)
+        out.append(covered)
+    return out
 
-    link = substring_dedup.Linker()
-    assert link.add(1, context(1, 2, 0, 0, 0, 0, 0, 0)) == (set(), True)
-    assert link.add(2, context(1, 2, 3, 4, 5, 6, 7, 8)) == ({1}, True)
-    assert link.add(3, context(0, 0, 0, 0, 5, 6, 7, 8)) == ({2}, False)
+
+def repeating_corpus(r, count):
+    """Texts of passages, lines and variants that recur in several of them."""
+    passages = [words(r, r.randrange(40, 90)) for _ in range(12)]
+    lines = [words(r, r.randrange(3, 30)) for _ in range(8)]
+    texts = []
+    for _ in range(count):
+        parts = []
+        for _ in range(r.randrange(1, 7)):
+            kind = r.random()
+            if kind < 0.4:
+                parts += r.choice(passages)
+            elif kind < 0.6:
+                p = list(r.choice(passages))
+                p[r.randrange(len(p))] = words(r, 1)[0]
+                parts += p
+            elif kind < 0.8:
+                parts += r.choice(lines)
+            else:
+                parts += words(r, r.randrange(5, 60))
+        texts.append(" ".join(parts))
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_passage_that_brute_force_finds_is_found(spark, seed):
+    texts = repeating_corpus(random.Random(seed), 300)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    covered = [set() for _ in texts]
+    for x in substring_dedup.repeated_passages(docs).collect():
+        assert (x["source"], x["source_start"]) < (x["doc_id"], x["start_word"])
+        mine, yours = (shingles(texts[d].split()[a:b]) for d, a, b in ((x["doc_id"], x["start_word"], x["end_word"]), (x["source"], x["source_start"], x["source_end"])))
+        both = len(set(mine.tolist()) & set(yours.tolist()))
+        assert 5 * both >= 4 * (len(set(mine.tolist())) + len(set(yours.tolist())) - both)
+        covered[x["doc_id"]] |= set(range(x["start_word"], x["end_word"]))
+    for i, want in enumerate(brute_passages(texts)):
+        assert covered[i] >= want, i
+
+
+def test_rows_of_repeated_null_and_string_ids_keep_their_own_words(spark):
+    r = random.Random(41)
+    shared, clean = words(r, 100), " ".join(words(r, 300))
+    rows = [(1, " ".join(words(r, 60) + shared + words(r, 60))), (7, " ".join(words(r, 20) + shared + words(r, 20))), (7, clean), (7, clean)]
+    rows += [(None, " ".join(words(r, 30) + shared)), (None, " ".join(shared + words(r, 40))), (None, None), (8, "")]
+    for kind, of in (("long", lambda i: i), ("string", lambda i: None if i is None else f"id-{i}")):
+        docs = spark.createDataFrame([(of(i), t, 1, 2, 3, 4) for i, t in rows], f"doc_id {kind}, text string, _key int, _spans int, _node int, row int")
+        left = substring_dedup.deduplicated(docs, length=None)
+        assert left.columns == docs.columns
+        kept = [x["text"] for x in left.collect()]
+        assert len(kept) == len(rows) and kept.count(clean) == 2 and kept.count(rows[0][1]) == 1
+        assert sum(" ".join(shared) in (t or "") for t in kept) == 1 and sorted(len((t or "").split()) for t in kept) == sorted([220, 40, 300, 300, 30, 40, 0, 0])
+        assert substring_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
 def test_parts_of_a_longer_passage_are_found(spark):
@@ -304,12 +398,12 @@ def test_passages_with_lines_that_recur_in_the_earlier_text_are_found():
         for copy in (p, near):
             late = words(r, 30) + copy + words(r, 30)
             covered = set()
-            for s, e, a, b in substring_dedup.Earlier(1, " ".join(early)).spans(2, " ".join(late)):
+            for s, e, a, b in substring_dedup.Earlier(" ".join(early)).spans(" ".join(late)):
                 assert e - s >= 50 and 30 <= s < e <= 30 + len(p) and (copy == near or late[s:e] == early[a:b])
                 covered |= set(range(s, e))
             assert covered == set(range(30, 30 + len(p)))
     own = line + words(r, 40) + texts[0][1] + words(r, 20) + texts[0][1]
-    got = substring_dedup.Earlier(1, " ".join(own)).spans(1, " ".join(own))
+    got = substring_dedup.Earlier(" ".join(own)).spans(" ".join(own), own=True)
     assert any(s == len(own) - 62 and e == len(own) and own[a:b] == own[s:e] for s, e, a, b in got)
 
 
@@ -321,7 +415,7 @@ def test_pairs_of_texts_of_few_shingles_are_exact():
         early, late = ([w for _ in range(r.randrange(2, 40)) for w in r.choice(lines)] for _ in range(2))
         for own in (False, True):
             late = early if own else late
-            got = substring_dedup.Earlier(1, " ".join(early)).spans(1 if own else 2, " ".join(late))
+            got = substring_dedup.Earlier(" ".join(early)).spans(" ".join(late), own=own)
             covered = {i for s, e, _, _ in got for i in range(s, e)}
             grams = {}
             for a in range(len(early) - 49):
