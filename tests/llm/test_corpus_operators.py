@@ -200,7 +200,7 @@ def test_compact_windows_cover_each_passage_once():
     r = np.random.default_rng(2)
     for n in (0, 10, 46, 150):
         h = r.integers(0, 40, n).astype(np.uint64) if n == 150 else r.integers(0, 1 << 62, n).astype(np.uint64)
-        _, lo, c, hi = substring_dedup.compact_windows(h, 20)
+        _, _, lo, c, hi = substring_dedup.compact_windows([h], 20)
         for i in range(n):
             for j in range(i + 19, n):
                 assert ((lo <= i) & (i <= c) & (c <= j) & (j <= hi)).sum() == substring_dedup.HASHES
@@ -247,13 +247,15 @@ def test_the_interval_join_finds_where_enough_functions_agree():
     r = np.random.default_rng(4)
     for _ in range(20):
         h = r.integers(0, 1 << 62, 150).astype(np.uint64)
-        value, lo, c, hi = substring_dedup.compact_windows(h)
+        _, at, *_ = substring_dedup.compact_windows([h, h[:3], h])
+        assert np.bincount(at, minlength=3).tolist() == [len(at) // 2, 0, len(at) // 2]
+        value, _, lo, c, hi = substring_dedup.compact_windows([h])
         some = r.random(len(value)) < 0.5
         first, last = substring_dedup.covered_starts(lo[some], c[some], hi[some])
         start, stop, values = substring_dedup.regions(value[some], first, last)
         want = {}
         for i in range(len(h) - substring_dedup.LEAST + 1):
-            over = {int(v) | 4 for v, a, m, b in zip(value[some], lo[some], c[some], hi[some], strict=True) if a <= i <= m < i + substring_dedup.LEAST <= b + 1}
+            over = {int(v) for v, a, m, b in zip(value[some], lo[some], c[some], hi[some], strict=True) if a <= i <= m < i + substring_dedup.LEAST <= b + 1}
             if len(over) >= substring_dedup.ENOUGH:
                 want[i] = over
         got = {i: {int(v) for v in row if v} for a, b, row in zip(start, stop, values, strict=True) for i in range(a, b)}
