@@ -23,19 +23,46 @@ def words(r, n):
 # --- sharding
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 100), max_size=60), st.integers(100, 160))
-def test_best_fit_takes_the_tightest_bin(sizes, capacity):
-    got = sharding.best_fit_decreasing(sizes, capacity)
-    rooms, want = [], [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        fits = [(room, b) for b, room in enumerate(rooms) if room >= sizes[i]]
-        b = min(fits)[1] if fits else len(rooms)
+def packed_one_by_one(sizes, capacity):
+    """Bins of items, largest first, each in the bin with the least room that takes it."""
+    rooms, out = [], []
+    for size in sorted(sizes, reverse=True):
+        fits = [(room, b) for b, room in enumerate(rooms) if room >= size]
         if not fits:
             rooms.append(capacity)
-        rooms[b] -= sizes[i]
-        want[i] = b
-    assert got == want
+        b = min(fits)[1] if fits else len(rooms) - 1
+        rooms[b] -= size
+        out.append((size, b))
+    return out
+
+
+def items(ranges, runs):
+    """(size, bin) of each item of each run, in rank order."""
+    out = []
+    for size, count in sorted(runs, reverse=True):
+        mine = sorted(r[1:] for r in ranges if r[0] == size)
+        out += [(size, [b for at, b in mine if at <= rank][-1]) for rank in range(count)]
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 100), st.integers(1, 40), max_size=12), st.integers(100, 160))
+def test_best_fit_of_runs_is_best_fit_of_items(histogram, capacity):
+    runs = sorted(histogram.items(), reverse=True)
+    got = items(sharding.best_fit_decreasing(runs, capacity), runs)
+    assert got == packed_one_by_one([s for s, n in runs for _ in range(n)], capacity)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 1000), st.integers(1, 30), min_size=1, max_size=12), st.integers(1, 6))
+def test_even_bins_place_every_item_and_large_ones_alone(histogram, shards):
+    got = items(sharding.even_bins(list(histogram.items()), shards), histogram.items())
+    assert len(got) == sum(histogram.values()) and {b for _, b in got} <= set(range(shards))
+    loads = [sum(s for s, b in got if b == k) for k in range(shards)]
+    total = sum(loads)
+    assert max(loads) <= max(max(histogram), total / shards * 2)
+    if max(histogram) * shards > total and shards > 1:
+        assert [s for s, b in got if b == 0] == [max(histogram)]
 
 
 def test_shards_are_near_equal_and_whole(spark):
@@ -46,15 +73,19 @@ def test_shards_are_near_equal_and_whole(spark):
     totals = got.groupby("shard")["size"].sum()
     assert totals.max() / totals.mean() < 1.01
     assert (got.groupby("text")["shard"].nunique() == 1).all()
+    groups = got.groupby("text").agg(size=("size", "sum"), shard=("shard", "first"))
+    runs = sorted(groups["size"].value_counts().items(), reverse=True)
+    assert sorted(zip(groups["size"], groups["shard"], strict=True)) == sorted(items(sharding.even_bins(runs, 16), runs))
     for _, part in got.groupby("shard"):
         assert sorted(part["slot"]) == list(range(len(part)))
 
 
 def test_shards_of_odd_tables(spark):
-    rows = [(i % 50, None if i % 7 == 0 else "same text", 3) for i in range(300)] + [(None, "x", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    rows = [(i % 50, None if i % 7 == 0 else "same text", 3) for i in range(300)] + [(None, "x", 1), (None, "long " * 9, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int").withColumns({c: F.lit(4) for c in ("_group", "size", "_key", "_rank", "slot")})
     got = sharding.shard_documents(docs).toPandas()
-    assert len(got) == 301 and got.groupby("shard")["slot"].apply(lambda s: sorted(s) == list(range(len(s)))).all()
+    assert len(got) == 302 and got.groupby("shard")["slot"].apply(lambda s: sorted(s) == list(range(len(s)))).all()
+    assert (got.groupby("text_crc32")["shard"].nunique() == 1).all() and got["shard"].nunique() == 4  # groups stay whole
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
