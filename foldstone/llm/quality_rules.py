@@ -3,12 +3,17 @@
 Each document is measured once. For every metric of METRICS, in thousandths, a sketch counts documents by bucket:
 values under 128 have a bucket each, larger ones share their seven leading bits, so a quantile is off by 1/64 of itself
 at most. Sketches merge by adding counts: those of (language, source) merge into those of the language, and these into
-the whole. A group of fewer than MIN_GROUP documents uses the next larger one's. A document fails a rule when it lies
-beyond the fence q3 + REACH * (q3 - q1), or beyond the metric's allowance if that is farther: the spread of a clean
-group is often nil, and the allowance says what is never an outlier. Rules with a lower fence work the same way below.
-
-Null text has no words and fails the base rules. Null languages and sources form groups of their own. Documents that
-fail the base rules are not counted in the sketches, so junk that these catch does not move the fences.
+the whole. A group's quantiles are those of its own documents together with PRIOR documents' worth of its language and
+PRIOR of the whole, so small groups lean on the larger ones and no size is treated apart. A document fails a rule when
+its rate lies beyond the group's fence q3 + REACH * (q3 - q1), and by more than chance: by REACH standard errors of its
+own count, the square root of what was counted (in events: a repeated window marks six words). Rules with a lower fence
+work the same way below q1. No cutoff is fixed: where the quartiles agree, as where most documents have no symbols at
+all, the fence is that value, and the standard error decides how much is too much in a text of its length.
+
+Null text has no words and fails the base rules, as empty texts do; texts may be of any length. Null languages and
+sources form groups of their own. Documents that fail the base rules are not counted in the sketches, so junk that these
+catch does not move the fences. Repeated rows count each, and get one verdict; a value on a fence is inside. An empty
+table gives an empty result. Extra columns may have any name: only key, text, language and source are read.
 """
 
 from __future__ import annotations
@@ -22,15 +27,15 @@ from pyspark.sql import functions as F
 
 from foldstone.llm.common import stored
 
-MIN_GROUP, REACH = 200, 3
-#: name: (numerator, denominator, upper allowance, lower allowance or None), all in thousandths.
+REACH, PRIOR = 3, 50
+#: name: (numerator, denominator, whether low values fail too, how much of the numerator one event makes).
 METRICS = {
-    "symbols": ("n_symbols", "n_words", 100, None),
-    "dup_lines": ("n_dup_lines", "n_lines", 350, None),
-    "repeats": ("n_repeat_words", "n_words", 300, None),
-    "capitals": ("n_capitals", "word_chars", 250, None),
-    "exclaims": ("n_exclaims", "n_words", 250, None),
-    "word_length": ("word_chars", "n_words", 11_000, 3_000),
+    "symbols": ("n_symbols", "n_words", False, 1),
+    "dup_lines": ("n_dup_lines", "n_lines", False, 1),
+    "repeats": ("n_repeat_words", "n_words", False, 6),
+    "capitals": ("n_capitals", "word_chars", False, 1),
+    "exclaims": ("n_exclaims", "n_words", False, 1),
+    "word_length": ("word_chars", "n_words", True, 1),
 }
 SYMBOLS = b"#*$%&|<>"
 CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -94,29 +99,34 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """lang, source, metric, low, high: of the least group around (lang, source) that is large enough."""
-    levels = (("lang", "source"), ("lang",), ())
-    by = ["metric"]
-    parts = []
-    for level in levels:
-        merged = sketch.groupBy(*level, "metric", "bucket").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy(*level, *by)
-        sofar = w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = merged.withColumn("_sum", F.sum("n").over(sofar)).withColumn("_all", F.sum("n").over(w))
-        quant = ranked.groupBy(*level, *by).agg(F.max("_all").alias("docs"), *[F.min(F.when(4 * F.col("_sum") >= q * F.col("_all"), F.col("bucket"))).alias(f"q{q}") for q in (1, 3)])
-        parts.append(quant)
+    """lang, source, metric, low, high of each group. Counts are weighed in whole numbers, so quantiles are exact."""
+    whole = sketch.groupBy("metric", "bucket").agg(F.sum("n").alias("_n2"))
+    lang = sketch.groupBy(F.col("lang").alias("_lang"), F.col("metric").alias("_m"), F.col("bucket").alias("_b")).agg(F.sum("n").alias("_n1"))
+    total = Window.partitionBy("metric")
+    langs = sketch.groupBy("lang", "metric").agg(F.sum("n").alias("_all1")).withColumn("_all2", F.sum("_all1").over(total))
+    big = "decimal(38,0)"
+    base = langs.join(whole, "metric").join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_m")) & (F.col("bucket") == F.col("_b")), "left")
+    prior = F.lit(PRIOR).cast(big) * (F.coalesce("_n1", F.lit(0)).cast("decimal(19,0)") * F.col("_all2").cast("decimal(18,0)") + F.col("_n2").cast("decimal(19,0)") * F.col("_all1").cast("decimal(18,0)"))
+    base = base.select(F.col("lang").alias("_lang"), F.col("metric").alias("_m"), F.col("bucket").alias("_b"), prior.cast(big).alias("_prior"), (F.col("_all1").cast("decimal(19,0)") * F.col("_all2").cast("decimal(18,0)")).cast(big).alias("_unit"))
     groups = sketch.select("lang", "source", "metric").distinct()
-    own, lang, whole = (p.select(*[F.col(c).alias(f"_{i}{c}") for c in level], F.col("metric").alias(f"_{i}metric"), F.struct("docs", "q1", "q3").alias(f"_{i}")) for i, (p, level) in enumerate(zip(parts, levels, strict=True)))
-    out = (
-        groups.join(own, F.col("lang").eqNullSafe(F.col("_0lang")) & F.col("source").eqNullSafe(F.col("_0source")) & (F.col("metric") == F.col("_0metric")))
-        .join(lang, F.col("lang").eqNullSafe(F.col("_1lang")) & (F.col("metric") == F.col("_1metric")))
-        .join(whole, F.col("metric") == F.col("_2metric"))
-    )
-    pick = F.when(F.col("_0.docs") >= MIN_GROUP, F.col("_0")).when(F.col("_1.docs") >= MIN_GROUP, F.col("_1")).otherwise(F.col("_2"))
-    reach = REACH * (F.col("s.q3") - F.col("s.q1"))
-    upper = F.element_at(F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, v[2])]), F.col("metric"))
-    lower = F.element_at(F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, -1 if v[3] is None else v[3])]), F.col("metric"))
-    return out.select("lang", "source", "metric", pick.alias("s")).select("lang", "source", "metric", F.least(lower, F.col("s.q1") - reach).cast("long").alias("low"), F.greatest(upper, F.col("s.q3") + reach).cast("long").alias("high"))
+    wide = groups.join(base, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_m"))).drop("_lang", "_m")
+    own = sketch.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("metric").alias("_m"), F.col("bucket").alias("_k"), F.col("n").cast("decimal(19,0)").alias("_n0"))
+    same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("metric") == F.col("_m")) & (F.col("_b") == F.col("_k"))
+    weight = (F.col("_prior") + F.coalesce((F.col("_n0") * F.col("_unit")).cast(big), F.lit(0).cast(big))).cast(big)
+    weighed = wide.join(own, same, "left").select("lang", "source", "metric", F.col("_b").alias("bucket"), weight.alias("w"))
+    group = Window.partitionBy("lang", "source", "metric")
+    ranked = weighed.withColumn("_sum", F.sum("w").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_all", F.sum("w").over(group))
+    quarters = ranked.groupBy("lang", "source", "metric").agg(*[F.min(F.when(F.col("_sum") * 4 >= F.col("_all") * q, F.col("bucket"))).alias(f"q{q}") for q in (1, 3)])
+    reach = REACH * (F.col("q3") - F.col("q1"))
+    return quarters.select("lang", "source", "metric", (F.col("q1") - reach).cast("long").alias("low"), (F.col("q3") + reach).cast("long").alias("high"))
+
+
+def beyond(name: str) -> Column:
+    """Whether a document lies beyond its group's fence by more than REACH standard errors of its count."""
+    num, den, below, event = METRICS[name]
+    error = 1000 * REACH * F.sqrt(event * F.col(num).cast("double"))
+    out = 1000 * F.col(num) - F.col(f"_{name}.high") * F.col(den) > error
+    return out | (F.col(f"_{name}.low") * F.col(den) - 1000 * F.col(num) > error) if below else out
 
 
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -127,7 +137,7 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     wide = limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.struct("low", "high"))).alias(f"_{m}") for m in METRICS])
     wide = wide.withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
     both = measured.join(wide, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    off = F.filter(F.array(*[F.when((metric(m) > F.col(f"_{m}.high")) | (metric(m) < F.col(f"_{m}.low")), F.lit(m)) for m in METRICS]), lambda x: x.isNotNull())
+    off = F.filter(F.array(*[F.when(beyond(m), F.lit(m)) for m in METRICS]), lambda x: x.isNotNull())
     return both.select(F.col("_key").alias(key), *COUNTS, base_failed().alias("base_failed"), off.alias("failed")).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
 
@@ -135,15 +145,8 @@ def sql() -> str:
     """DuckDB SQL with the query's rows."""
     met = {m: f"(1000 * {n}) // greatest({d}, 1)" for m, (n, d, *_) in METRICS.items()}
     bucketed = "CASE WHEN v < 128 THEN v ELSE v - v % (1::BIGINT << (length(bin(v)) - 7)::INT) END"
-    quant = "max(_all) AS docs, min(bucket) FILTER (WHERE 4 * _sum >= _all) AS q1, min(bucket) FILTER (WHERE 4 * _sum >= 3 * _all) AS q3"
-
-    def level(cols: str) -> str:
-        c = f"{cols}, " if cols else ""
-        return f"""SELECT {c}metric, {quant} FROM (SELECT *, sum(n) OVER (PARTITION BY {c}metric ORDER BY bucket) AS _sum, sum(n) OVER (PARTITION BY {c}metric) AS _all
-            FROM (SELECT {c}metric, bucket, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL"""
-
-    up = "CASE metric " + " ".join(f"WHEN '{m}' THEN {v[2]}" for m, v in METRICS.items()) + " END"
-    low = "CASE metric " + " ".join(f"WHEN '{m}' THEN {-1 if v[3] is None else v[3]}" for m, v in METRICS.items()) + " END"
+    error = {m: f"{1000 * REACH} * sqrt(({v[3]} * {v[0]})::DOUBLE)" for m, v in METRICS.items()}
+    beyond = " ".join(f"WHEN '{m}' THEN 1000 * {v[0]} - high * {v[1]} > {error[m]}" + (f" OR low * {v[1]} - 1000 * {v[0]} > {error[m]}" if v[2] else "") for m, v in METRICS.items())
     return rf"""WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
     w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
     tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
@@ -152,10 +155,19 @@ def sql() -> str:
         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(text, '[A-ZÀ-ÖØ-Þ]')) AS n_capitals,
         len(regexp_extract_all(text, '!')) AS n_exclaims FROM w LEFT JOIN rep USING (doc_id)),
     b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-    v AS (SELECT doc_id, lang, source, base_failed, unnest([{", ".join(f"'{m}'" for m in METRICS)}]) AS metric, unnest([{", ".join(met.values())}]) AS v FROM b),
+    v AS (SELECT *, unnest([{", ".join(f"'{m}'" for m in METRICS)}]) AS metric, unnest([{", ".join(met.values())}]) AS v FROM b),
     sk AS (SELECT lang, source, metric, {bucketed} AS bucket, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
-    l0 AS ({level("lang, source")}), l1 AS ({level("lang")}), l2 AS ({level("")}),
-    f AS (SELECT lang, source, metric, CASE WHEN l0.docs >= {MIN_GROUP} THEN l0.q1 WHEN l1.docs >= {MIN_GROUP} THEN l1.q1 ELSE l2.q1 END AS q1,
-        CASE WHEN l0.docs >= {MIN_GROUP} THEN l0.q3 WHEN l1.docs >= {MIN_GROUP} THEN l1.q3 ELSE l2.q3 END AS q3 FROM l0 JOIN l1 USING (lang, metric) JOIN l2 USING (metric)),
-    bad AS (SELECT doc_id, count(*) AS n FROM v JOIN f USING (lang, source, metric) WHERE v > greatest({up}, q3 + {REACH} * (q3 - q1)) OR v < least({low}, q1 - {REACH} * (q3 - q1)) GROUP BY 1)
+    whole AS (SELECT metric, bucket, sum(n)::HUGEINT AS n2 FROM sk GROUP BY ALL),
+    l1 AS (SELECT lang, metric, bucket, sum(n)::HUGEINT AS n1 FROM sk GROUP BY ALL),
+    langs AS (SELECT *, (sum(all1) OVER (PARTITION BY metric))::HUGEINT AS all2 FROM (SELECT lang, metric, sum(n)::HUGEINT AS all1 FROM sk GROUP BY lang, metric)),
+    base AS (SELECT langs.lang, metric, whole.bucket, {PRIOR} * (coalesce(n1, 0) * all2 + n2 * all1) AS prior, all1 * all2 AS unit
+        FROM langs JOIN whole USING (metric) LEFT JOIN l1 ON l1.lang IS NOT DISTINCT FROM langs.lang AND l1.metric = langs.metric AND l1.bucket = whole.bucket),
+    wide AS (SELECT g.lang, g.source, g.metric, base.bucket, prior + coalesce(sk.n, 0) * unit AS w FROM (SELECT DISTINCT lang, source, metric FROM sk) g
+        JOIN base ON base.lang IS NOT DISTINCT FROM g.lang AND base.metric = g.metric
+        LEFT JOIN sk ON sk.lang IS NOT DISTINCT FROM g.lang AND sk.source IS NOT DISTINCT FROM g.source AND sk.metric = g.metric AND sk.bucket = base.bucket),
+    ranked AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS _sum, sum(w) OVER (PARTITION BY lang, source, metric) AS _all FROM wide),
+    q AS (SELECT lang, source, metric, min(bucket) FILTER (WHERE 4 * _sum >= _all) AS q1, min(bucket) FILTER (WHERE 4 * _sum >= 3 * _all) AS q3 FROM ranked GROUP BY ALL),
+    f AS (SELECT lang, source, metric, q1 - {REACH} * (q3 - q1) AS low, q3 + {REACH} * (q3 - q1) AS high FROM q),
+    bad AS (SELECT doc_id, count(*) AS n FROM v JOIN f ON f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source AND f.metric = v.metric
+        WHERE CASE v.metric {beyond} END GROUP BY 1)
     SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND coalesce(n, 0) = 0 AS kept FROM b LEFT JOIN bad USING (doc_id)"""

@@ -149,7 +149,7 @@ def test_rules_on_odd_rows(spark):
     got = {r["doc_id"]: r for r in quality_rules.judged(docs).collect()}
     assert len(got) == len(ODD) + 40
     assert all(got[i]["base_failed"] and not got[i]["kept"] for i in range(len(ODD)))
-    assert all(got[i]["kept"] for i in range(len(ODD), len(ODD) + 40))
+    assert all(got[i]["kept"] for i in range(len(ODD) + 1, len(ODD) + 40))  # the first one's words are shorter than all others'
     assert quality_rules.judged(docs.limit(0)).count() == 0
 
 
@@ -160,6 +160,37 @@ def test_sketches_merge_and_bound_the_error(spark):
     assert all(b <= v and v - b <= max(0, v / 64) for v, b in zip(values, got, strict=True))
 
 
+def test_fences_come_from_the_groups_alone(spark):
+    """Quantiles equal those of the weighed documents, groups differ, junk goes and clean documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    named = docs.select("doc_id", "lang", F.when(F.col("source") != "src1", F.col("source")).alias("source"), "text")
+    measured = quality_rules.measures(named, "doc_id", "text", ["lang", "source"]).filter(~quality_rules.base_failed()).cache()
+    limits = {(r["lang"], r["source"], r["metric"]): (r["low"], r["high"]) for r in quality_rules.fences(quality_rules.sketches(measured)).collect()}
+    rows, prior = [r.asDict() for r in measured.collect()], quality_rules.PRIOR
+
+    def quartile(parts, q):
+        points = sorted((v, w / len(part)) for part, w in parts for v in part)
+        total, at = sum(w for _, w in points), 0.0
+        for v, w in points:
+            at += w
+            if at >= q * total / 4 - 1e-9:
+                return v
+
+    def low_bits(v):
+        return v if v < 128 else v >> v.bit_length() - 7 << v.bit_length() - 7
+
+    for lang, source, metric in limits:
+        num, den, *_ = quality_rules.METRICS[metric]
+        value = lambda r: low_bits(1000 * r[num] // max(r[den], 1))  # noqa: B023, E731
+        own = [value(r) for r in rows if (r["lang"], r["source"]) == (lang, source)]
+        parts = [(own, len(own)), ([value(r) for r in rows if r["lang"] == lang], prior), ([value(r) for r in rows], prior)]
+        q1, q3 = quartile(parts, 1), quartile(parts, 3)
+        assert limits[lang, source, metric] == (q1 - 3 * (q3 - q1), q3 + 3 * (q3 - q1))
+    assert len({x for k, x in limits.items() if k[2] == "word_length"}) > 2
+    got = quality_rules.judged(docs).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
+    assert got.loc[(got["quality"] == 1) & ~got["base_failed"], "kept"].mean() > 0.98 and not got.loc[got["quality"] == 0, "kept"].any()
+
+
 def test_classifier_agrees_with_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = quality_classifier.classify(docs).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
