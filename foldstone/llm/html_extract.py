@@ -1,13 +1,16 @@
 """HTML extraction (operator 5): line-block distribution.
 
 Markup is stripped into lines, one for each block element. Regions that are no article text (menus, forms, adverts,
-reader comments, ...) become empty lines, as does what stands outside the article where the page marks one. Text lengths
-are summed over sliding windows of lines; text between a surge of that sum and the next dive to zero is kept. Where the
-page marks its article, any text is a surge; else a window has to reach SURGE characters outside links, and lines
-that are mostly links count nothing.
+reader comments, ...) become empty lines. A line weighs its characters outside links, or nothing if it is mostly links.
+Where a page marks an article that has text, that is evidence: lines inside weigh SURGE more, lines outside
+SURGE less; where it marks none, a top heading weighs SURGE more.
+Weights are summed over sliding windows of WINDOW lines, on every page alike: a stretch runs from the surge, where the
+sum reaches SURGE, to the dive, where it falls to nothing, without the weightless lines at its ends; its text is kept.
 
 Null and empty html give "". Unclosed and stray tags are tolerated: an open region ends at an article's border. Blocks
-are never dropped for their length inside a kept stretch. Repeated rows give repeated results.
+are never dropped for their length inside a kept stretch. Pages may be of any length; work is in proportion to it. A
+window that just reaches SURGE is a surge. Repeated rows give repeated results, an empty table gives an empty one, and
+extra columns may have any name: only key, url and html are read.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Lines in a window, and characters that make a surge on a page without a marked article.
+#: Lines in a window, and the sum of weights that makes a surge.
 WINDOW, SURGE = 3, 86
 
 TOKEN = re.compile(
@@ -53,17 +56,21 @@ def _marked(name: str, attrs: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article) of each line; stripped regions are empty lines."""
-    out: list[tuple[str, int, bool]] = []
+#: (text, characters outside links, inside an article, in a top heading)
+Line = tuple[str, int, bool, bool]
+
+
+def lines(page: str) -> list[Line]:
+    """The lines of a page; stripped regions are empty ones."""
+    out: list[Line] = []
     parts: list[str] = []
-    linked, in_link, depth = 0, False, 0
+    linked, in_link, in_title, depth = 0, False, False, 0
     skip, nested = "", 0
 
     def close() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
-        out.append((text, 0 if 2 * linked > len(text) else len(text), depth > 0))
+        out.append((text, 0 if 2 * linked > len(text) else len(text), depth > 0, in_title))
         parts.clear()
         linked = 0
 
@@ -100,6 +107,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             parts.append(" ")
         if name == "a":
             in_link = not closing
+        elif name == "h1":
+            in_title = not closing
         if name in ("article", "main") and closing:
             depth = max(0, depth - 1)
         elif not closing and name not in VOID:
@@ -114,22 +123,34 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def kept(rows: list[tuple[str, int, bool]]) -> list[str]:
+def weights(rows: list[Line]) -> list[int]:
+    """What each line counts: its characters outside links, and what the page marks as its article for or against it."""
+    marked = any(text and inside for text, _, inside, _ in rows)
+
+    def one(text: str, n: int, inside: bool, title: bool) -> int:
+        if not text:
+            return 0
+        if marked and not inside:
+            return max(0, n - SURGE)
+        return n + SURGE if inside or title else n
+
+    return [one(*row) for row in rows]
+
+
+def kept(rows: list[Line]) -> list[str]:
     """Lines between surges and dives."""
-    marked = any(text and inside for text, _, inside in rows)
-    sizes = [(len(t) if inside else 0) if marked else n for t, n, inside in rows]
-    texts = [t if inside or not marked else "" for t, _, inside in rows]
+    sizes = weights(rows)
     sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
-    need = 1 if marked else SURGE
     out, i, n = [], 0, len(sums)
     while i < n:
-        if sums[i] < need:
+        if sums[i] < SURGE:
             i += 1
             continue
         j = i
         while j < n and sums[j] > 0:
             j += 1
-        out += [t for t in texts[i:j] if t]
+        heavy = [k for k in range(i, j) if sizes[k]]
+        out += [t for t, *_ in rows[heavy[0] : heavy[-1] + 1] if t]
         i = j
     return out
 

@@ -118,6 +118,46 @@ def test_extraction_without_an_article_finds_the_surge():
     assert html_extract.main_text(page) == "\n\n".join((w * 40).strip() for w in ("alpha ", "beta ", "gamma "))
 
 
+def slow_stretches(rows):
+    """Kept lines by their definition, line by line: a window that surges, none that dives since, weight on both sides."""
+    marked = any(t and inside for t, _, inside, _ in rows)
+    size = []
+    for t, n, inside, title in rows:
+        bonus = 86 if inside or (title and not marked) else -86 if marked else 0
+        size.append(max(0, n + bonus) if t else 0)
+    flow = [sum(size[i : i + 3]) for i in range(len(rows))]
+    out = []
+    for k, (t, *_) in enumerate(rows):
+        starts = [i for i in range(k + 1) if flow[i] >= 86 and all(f > 0 for f in flow[i : k + 1])]
+        if t and starts:
+            first = min(starts)
+            end = next((j for j in range(k, len(rows)) if flow[j] == 0), len(rows))
+            if any(size[first : k + 1]) and any(size[k:end]):
+                out.append(t)
+    return out
+
+
+LINES = st.lists(st.tuples(st.sampled_from(["", "a", "word " * 9, "text " * 30]), st.booleans(), st.booleans(), st.booleans()), max_size=25)
+
+
+@settings(max_examples=300, deadline=None)
+@given(LINES)
+def test_stretches_are_those_of_the_definition(lines):
+    rows = [(t, len(t) * counted, inside, title) for t, counted, inside, title in lines]
+    assert html_extract.kept(rows) == slow_stretches(rows)
+
+
+def test_pages_without_article_tags_give_the_same_text(spark):
+    """The same rule decides on pages that mark no article, and on pages that mark all blocks with neutral names."""
+    same, total = 0, 0
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        marked = html_extract.main_text(r["html"])
+        plain = html_extract.main_text(r["html"].replace("<article", "<div").replace("</article", "</div"))
+        assert "<" not in marked and marked.startswith(plain[:20]) and plain
+        same, total = same + (plain == marked), total + 1
+    assert same >= 0.98 * total, (same, total)
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "text only", "<article>", "<article><p>a", "<nav>x<article><p>a</p></article>", "<div class='ad'><div>x</div>", "</p></article>" * 50, "<!-- ", "<script>"])
 def test_extraction_survives(page):
     assert html_extract.main_text(page) in ("", "a")
