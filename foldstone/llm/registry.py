@@ -34,6 +34,12 @@ def op2_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts.token_counts(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
+@query
+def token_prefix_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of op2 at every prefix, as they are stored."""
+    return token_counts.prefix_tables(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")

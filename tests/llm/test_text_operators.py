@@ -35,9 +35,22 @@ def test_prefix_counts_are_those_of_the_library(text, budget):
     table = c.table(text)
     want = [len(lib.encode(text[:i])) for i in range(len(text) + 1)]
     assert [c.count_at(text, table, i) for i in range(len(text) + 1)] == want
+    assert c.every(text).tolist() == want
     assert c.longest_prefix(text, table, budget) == max(i for i, n in enumerate(want) if n <= budget)
 
 
+def test_long_words_take_linear_time_and_stay_out_of_the_cache():
+    c, r = token_counts.PrefixCounter(MODEL), random.Random(5)
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for word in ("x" * 300_000, "".join(r.choice("abcdefghijklmnopé") for _ in range(300_000))):
+        tokens = c.every(word)
+        for at in (1, 17, 1_000, 20_001, 300_000):
+            assert tokens[at] == len(lib.encode(word[:at]))
+        fit = c.longest_prefix(word, c.table(word), 4096)
+        assert tokens[fit] <= 4096 and (tokens[fit + 1 :] > 4096).all()
+    assert not c.cache or max(map(len, c.cache)) <= token_counts.SHORT
+
+
 def test_token_counts_of_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(frame(spark, ODD).select((F.col("doc_id") - 100).alias("doc_id"), "text"))
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -50,7 +63,7 @@ def test_token_counts_of_documents(spark):
         assert len(lib.encode(t[: r["fit_chars"]])) <= 100
     assert token_counts.prefix_tables(docs.limit(0), MODEL).count() == 0
     table = token_counts.prefix_tables(docs.filter("doc_id = 3"), MODEL).first()
-    assert table["ends"][-1] == len(texts[3]) and table["tokens"][-1] == len(lib.encode(texts[3]))
+    assert len(table["tokens"]) == len(texts[3]) + 1 and table["tokens"][-1] == len(lib.encode(texts[3])) and table["tokens"][40] == len(lib.encode(texts[3][:40]))
 
 
 @settings(max_examples=300, deadline=None)
