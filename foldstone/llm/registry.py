@@ -17,6 +17,10 @@ SQL: dict[str, str] = {}
 
 #: Tokens over which a text counts as long.
 TOKEN_LIMIT = 4096
+#: Target weights of the mixture: of domains, and of languages in each domain; sources share by their size.
+DOMAINS = {"domain0": 0.4, "domain1": 0.3, "domain2": 0.2, "domain3": 0.1}
+LANGUAGES = {"en": 0.55, "de": 0.2, "fr": 0.15, "es": 0.1}
+TARGETS = {(d,): w for d, w in DOMAINS.items()} | {(d, x): w for d in DOMAINS for x, w in LANGUAGES.items()}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -42,8 +46,8 @@ def token_prefix_tables(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    mixed = mixing.mix(docs, mixing.word_tokens("text"), [mixing.source_domain("source"), F.col("lang"), F.col("source")])
+    levels = [mixing.source_domain("source"), F.col("lang"), F.col("source")]
+    mixed = mixing.mix(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), levels, weights=TARGETS)
     return mixed.select("doc_id", F.col("_level0").alias("domain"), F.col("_level1").alias("lang"), F.col("_level2").alias("source"), "n_tokens", "epoch", "leaf_offset")
 
 

@@ -4,10 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from foldstone.llm import links, mixing, near_dedup, nearest, sharding, substring_dedup
@@ -92,21 +94,69 @@ def test_shards_of_odd_tables(spark):
 # --- mixing
 
 
-def test_shortages_go_to_siblings_first():
+def slow_fill(budget, weights, supplies):
+    """Shares by weight in small steps of logic: deal, cap the full, deal what is left to the others, again."""
+    out, open_ = [0.0] * len(weights), {i for i in range(len(weights)) if supplies[i] > 0 and weights[i] > 0}
+    left = min(float(budget), float(sum(supplies[i] for i in open_)))
+    while open_:
+        total = sum(weights[i] for i in open_)
+        full = {i for i in open_ if left * weights[i] / total >= supplies[i] - 1e-9 * supplies[i]}
+        for i in full or open_:
+            out[i] = float(supplies[i]) if full else left * weights[i] / total
+        if not full:
+            break
+        left, open_ = max(left - sum(supplies[i] for i in full), 0.0), open_ - full
+    return out
+
+
+def slow_quotas(leaves, budget, weights, temper, epochs):
+    """Quota of each leaf, one family after the other."""
+
+    def deal(prefix, amount):
+        depth = len(prefix) + 1
+        kids = sorted({p[:depth] for p in leaves if p[: depth - 1] == prefix}, key=str)
+        supplies = [epochs * sum(t for p, t in leaves.items() if p[:depth] == k) for k in kids]
+        total = sum(s**temper for s in supplies if s) or 1.0
+        shares = slow_fill(amount, [weights.get(k, s**temper / total if s else 0.0) for k, s in zip(kids, supplies, strict=True)], supplies)
+        return {k: q for kid, share in zip(kids, shares, strict=True) for k, q in ({kid: share} if kid in leaves else deal(kid, share)).items()}
+
+    return deal((), budget)
+
+
+def spark_quotas(spark, leaves, budget, weights, temper, epochs):
+    depth = len(next(iter(leaves)))
+    names = [f"n{i}" for i in range(depth)]
+    df = spark.createDataFrame([(*p, t) for p, t in leaves.items()], ", ".join([*(f"{n} string" for n in names), "t long"]))
+    return {tuple(r[n] for n in names): r["quota"] for r in mixing.quotas(df, names, budget, weights, temper, epochs).collect()}
+
+
+def test_shortages_go_to_siblings_first(spark):
     leaves = {("a", "x"): 10, ("a", "y"): 100, ("b", "x"): 100, ("b", "y"): 100}
     equal = {p[:k]: 1.0 for p in leaves for k in (1, 2)}
-    got = mixing.quotas(leaves, 160, equal, 0.5, 1)
+    got = spark_quotas(spark, leaves, 160, equal, 0.5, 1)
     assert got == pytest.approx({("a", "x"): 10, ("a", "y"): 70, ("b", "x"): 40, ("b", "y"): 40})
-    got = mixing.quotas(leaves, 260, equal, 0.5, 1)  # all of a is not enough: the rest goes to b
+    got = spark_quotas(spark, leaves, 260, equal, 0.5, 1)  # all of a is not enough: the rest goes to b
     assert got == pytest.approx({("a", "x"): 10, ("a", "y"): 100, ("b", "x"): 75, ("b", "y"): 75})
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.dictionaries(st.tuples(st.sampled_from("ab"), st.sampled_from("xyz"), st.sampled_from("12")), st.integers(0, 1000), max_size=12), st.integers(0, 5000))
-def test_budgets_are_used_up(leaves, budget):
-    got = mixing.quotas(leaves, budget, {}, 0.5, 2)
-    assert all(-1e-6 <= got[k] <= 2 * leaves[k] + 1e-6 for k in leaves)
-    assert sum(got.values()) == pytest.approx(min(budget, 2 * sum(leaves.values())))
+def test_budgets_are_those_of_dealing_family_by_family(spark):
+    r = random.Random(14)
+    for trial in range(8):
+        paths = {(r.choice("abc"), r.choice(["x", "y", "z", None]), str(r.randrange(6))) for _ in range(r.randrange(1, 30))}
+        leaves = {p: r.choice([0, 1, r.randrange(1000)]) for p in paths}
+        weights = {p[:k]: r.choice([0.0, 0.1, 2.0]) for p in paths for k in (1, 2, 3) if r.random() < 0.3}
+        budget = r.randrange(5000)
+        want = slow_quotas(leaves, budget, weights, 0.5, 2)
+        assert spark_quotas(spark, leaves, budget, weights, 0.5, 2) == pytest.approx(want, abs=1e-6), trial
+        if not weights:
+            assert sum(want.values()) == pytest.approx(min(budget, 2 * sum(leaves.values())))
+
+
+def test_tokens_are_those_of_the_tokenizer(spark):
+    docs = spark.createDataFrame([(1, "the cat sat", "s"), (2, None, "s"), (3, "", None)], "doc_id long, text string, source string").withColumns({c: F.lit(9) for c in ("_key", "_row", "epoch", "_text")})
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = mixing.mix(docs, path, [F.col("source")], max_epochs=1).collect()
+    assert {(r["doc_id"], r["n_tokens"]) for r in got} == {(1, len(Tokenizer.from_file(path).encode("the cat sat").ids)), (2, 0), (3, 0)}
 
 
 def test_mix_takes_whole_epochs_and_a_prefix(spark):
@@ -122,7 +172,7 @@ def test_mix_takes_whole_epochs_and_a_prefix(spark):
     all_rows = mixing.mix(docs, mixing.word_tokens("text"), levels, 1.0, max_epochs=1).toPandas()
     assert sorted(all_rows["doc_id"]) == sorted(pdf["doc_id"])
     supply = all_rows.groupby(leaf)["n_tokens"].sum().to_dict()
-    quota = mixing.quotas(supply, 0.6 * sum(supply.values()), {}, 0.5, 2)
+    quota = slow_quotas(supply, 0.6 * sum(supply.values()), {}, 0.5, 2)
     for path, part in kept.groupby(leaf):
         over = part["n_tokens"].sum() - quota[path]
         assert -1 <= over <= part["n_tokens"].max()
