@@ -3,11 +3,16 @@
 LABELLERS are overlapping heuristics; each votes good, bad or nothing on a document. Only the counts of vote patterns,
 3 ** len(LABELLERS) rows at most, are needed to estimate each labeller's vote distribution under good and bad documents
 and the share of good ones; the posterior of a pattern is the weak label of all its documents. A logistic scorer over
-hashed words and word shapes is trained on these labels, for TRAIN documents of least hash (a bound on the sample, not on
-what is scored or on what EM sees), and scores every whole text.
+hashed words and word shapes is trained on these labels and scores every whole text. It is trained on the TRAIN distinct
+rows of least hash of id and text, fewer if their vectors pass TRAIN_BYTES (a bound on the sample, not on what is scored
+or on what EM sees), in the order of that hash: results do not depend on how rows are dealt to tasks.
+
+Texts are read once: patterns and hashed vectors, of 2 ** BITS numbers at most however long the text, are stored, and
+sampling and scoring work on these.
 
 Null and blank texts have no features: their score is that of the bias, their votes are those of no words. Repeated rows
-get equal results; extra columns do not matter; on an empty table nothing is trained and the result is empty.
+get equal results and count once in the sample; extra columns do not matter; ties of hashes are rows alike; on an empty
+table nothing is trained and the result is empty.
 """
 
 from __future__ import annotations
@@ -24,7 +29,8 @@ from pyspark.sql import functions as F
 from foldstone.llm.common import stored
 from foldstone.llm.quality_rules import measure
 
-TRAIN, BITS, EPOCHS, BATCH, RATE, DECAY = 6_000, 18, 6, 128, 0.5, 1e-6
+TRAIN, TRAIN_BYTES = 6_000, 64 << 20
+BITS, EPOCHS, BATCH, RATE, DECAY = 18, 6, 128, 0.5, 1e-6
 CACHE = 300_000
 #: Words from which on a text counts in full.
 FULL = 40
@@ -176,34 +182,38 @@ def _mapped(docs: DataFrame, text: str, extra: str, f: Callable[[list[str]], lis
 def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, weak_label (posterior of good), score (of the trained scorer) and keep (score of a half or more)."""
     spark = docs.sparkSession
-    base = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    voted = stored(_mapped(base, "_text", "pattern int", lambda ts: [pa.array(map(votes, ts), pa.int32())]), "votes")
-    seen = voted.groupBy("pattern").count().orderBy("pattern").collect()  # 3 ** len(LABELLERS) rows at most
+    state: list[Hasher] = []
+
+    def hashed(ts: list[str]) -> list[pa.Array]:
+        if not state:
+            state.append(Hasher())
+        got = [state[0].vector(t) for t in ts]
+        return [pa.array(map(votes, ts), pa.int32()), pa.array([b.tobytes() for b, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary())]
+
+    base = docs.select(F.col(key).alias("_key"), F.xxhash64(key, text).alias("_at"), F.col(text).alias("_text"))
+    read = stored(_mapped(base, "_text", "pattern int, buckets binary, weights binary", hashed), "vectors")
+    seen = read.groupBy("pattern").count().orderBy("pattern").collect()  # 3 ** len(LABELLERS) rows at most
     if not seen:
         return docs.select(key, F.lit(0.0).alias("weak_label"), F.lit(0.0).alias("score"), F.lit(True).alias("keep")).limit(0)
     codes, counts = (np.array([r[c] for r in seen]) for c in ("pattern", "count"))
     post, _, _ = em(codes, counts.astype(float))
     posterior = dict(zip(codes.tolist(), post.tolist(), strict=True))
 
-    def hashed(ts: list[str]) -> list[pa.Array]:
-        h = Hasher()
-        got = [h.vector(t) for t in ts]
-        return [pa.array(map(votes, ts), pa.int32()), pa.array([b.tobytes() for b, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary())]
-
-    least = voted.select("_key").distinct().orderBy(F.xxhash64("_key"), "_key").limit(TRAIN).withColumnRenamed("_key", "_chosen")
-    chosen = base.join(F.broadcast(least), F.col("_key").eqNullSafe(F.col("_chosen")), "left_semi").select("_text").limit(TRAIN)  # TRAIN ids
-    sample = _mapped(chosen, "_text", "pattern int, buckets binary, weights binary", hashed).collect()
+    size = 8 + 2 * F.octet_length("buckets")
+    least = read.groupBy("_at").agg(F.max(size).alias("n")).orderBy("_at").limit(TRAIN).collect()
+    fits = np.cumsum([r["n"] for r in least]) <= TRAIN_BYTES
+    last = least[max(0, int(fits.sum()) - 1)]["_at"]
+    sample = sorted(read.filter(F.col("_at") <= F.lit(last)).dropDuplicates(["_at"]).select("_at", "pattern", "buckets", "weights").collect())  # TRAIN rows, TRAIN_BYTES
     weights = train([(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["weights"], np.float32)) for r in sample], np.array([posterior[r["pattern"]] for r in sample]))
     model = spark.sparkContext.broadcast(weights)  # 2 ** BITS + 1 floats
-    state: list[Hasher] = []
 
-    def score(ts: list[str]) -> list[pa.Array]:
-        if not state:
-            state.append(Hasher())
-        w, h = model.value, state[0]
-        z = [float(w[b] @ x + w[-1]) for b, x in map(h.vector, ts)]
-        v = [votes(t) for t in ts]
-        p = 1 / (1 + np.exp(-np.clip(np.array(z), -30, 30)))
-        return [pa.array([posterior[x] for x in v], pa.float64()), pa.array(p, pa.float64()), pa.array(p >= 0.5, pa.bool_())]
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = model.value
+        for batch in batches:
+            pattern, buckets, x = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            z = [float(w[np.frombuffer(b, np.int32)] @ np.frombuffer(v, np.float32) + w[-1]) for b, v in zip(buckets, x, strict=True)]
+            p = 1 / (1 + np.exp(-np.clip(np.array(z), -30, 30)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([posterior[c] for c in pattern], pa.float64()), pa.array(p, pa.float64()), pa.array(p >= 0.5, pa.bool_())], [key, "weak_label", "score", "keep"])
 
-    return _mapped(base, "_text", "weak_label double, score double, keep boolean", score).withColumnRenamed("_key", key)
+    kind = docs.schema[key].dataType.simpleString()
+    return read.select("_key", "pattern", "buckets", "weights").mapInArrow(score, f"`{key}` {kind}, weak_label double, score double, keep boolean")

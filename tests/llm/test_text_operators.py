@@ -254,6 +254,48 @@ def test_classifier_agrees_with_held_out_labels(spark):
     assert quality_classifier.classify(docs.limit(0)).count() == 0
 
 
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "TRAIN", 120)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    again = docs.limit(3).withColumn("text", F.lit("the same id with another text of a few words"))
+    rows = docs.unionByName(again).unionByName(docs.limit(30)).withColumn("pattern", F.lit(1)).withColumn("_at", F.lit(2))
+    one, other = (sorted(map(tuple, quality_classifier.classify(x).collect())) for x in (rows.coalesce(1), rows.orderBy(F.rand(5)).repartition(7)))
+    assert one == other and len(one) == rows.count()
+
+
+def slow_em(patterns, counts, rounds=60):
+    """EM of the same model over explicit rows: every document's votes, in plain Python."""
+    m = len(quality_classifier.LABELLERS)
+    rows = [[p // 3 ** (m - 1 - j) % 3 for j in range(m)] for p, n in zip(patterns, counts, strict=True) for _ in range(n)]
+    post = [min(0.98, max(0.02, (r.count(2) + 0.5) / (r.count(2) + 3.0 * r.count(1) + 1.0))) for r in rows]
+    for _ in range(rounds):
+        share = (sum(post) + 1) / (len(rows) + 2)
+        table = [[[0.1] * 3, [0.1] * 3] for _ in range(m)]
+        for r, g in zip(rows, post, strict=True):
+            for j, v in enumerate(r):
+                table[j][0][v] += 1 - g
+                table[j][1][v] += g
+        new = []
+        for r in rows:
+            good, bad = share, 1 - share
+            for j, v in enumerate(r):
+                bad *= table[j][0][v] / sum(table[j][0])
+                good *= table[j][1][v] / sum(table[j][1])
+            new.append(good / (good + bad))
+        post = new
+    return {tuple(r): g for r, g in zip(rows, post, strict=True)}
+
+
+def test_em_equals_a_version_over_documents():
+    r = np.random.default_rng(9)
+    m = len(quality_classifier.LABELLERS)
+    codes, counts = np.unique((np.where(r.random((150, m)) < 0.2, 1, 2) * 3 ** np.arange(m - 1, -1, -1)).sum(1), return_counts=True)
+    post, _, _ = quality_classifier.em(codes, counts.astype(float), 60)
+    want = slow_em(codes.tolist(), counts.tolist())
+    got = dict(zip(map(tuple, quality_classifier.digits(codes).tolist()), post.tolist(), strict=True))
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-4
+
+
 def test_em_finds_the_accuracies():
     r = np.random.default_rng(1)
     n, m = 20_000, len(quality_classifier.LABELLERS)
