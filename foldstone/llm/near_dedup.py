@@ -12,8 +12,13 @@ differ, by the Jaccard similarity of their shingle sets, which has to be THRESHO
 verified links. With ROWS registers in each of BANDS bands a pair of similarity 0.8 has none in common once in 300,000
 and stays under SIFT about as rarely.
 
-Equal texts are one node from the start, so copies cost nothing later. Null text counts as empty; texts without words
-equal each other only if they are the same characters. Rows that repeat an id and text each get the same class.
+Equal texts are one node from the start, so copies cost nothing later. Groups are compared in blocks bounded in rows and
+bytes (links.py); a large group of copies of one text costs its blocks, not their square.
+
+Null text counts as empty; texts without words equal each other only if they are the same characters; texts may be of any
+length, a text's shingles have to fit a task. Rows that repeat an id and text each get the same class; null ids are given
+the class of their text. Ties do not arise: the least id of a class names it, and where ids repeat the digest of the text
+decides. An empty table gives an empty result. Extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldstone.llm.common import mixed64, stored, text_key
-from foldstone.llm.links import blocked, classes, components, grouped_edges
+from foldstone.llm.common import mixed64, stored, text_key, unused
+from foldstone.llm.links import classes, components, group_edges
 from foldstone.llm.shingles import shingles
 
 THRESHOLD, SIFT = 0.8, 0.6
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-#: Shingles that are hashed at once.
-CHUNK = 200_000
+#: Shingles that are hashed at once, and texts that a task remembers so as not to sign copies again.
+CHUNK, SEEN = 200_000, 100_000
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -82,9 +87,15 @@ def signatures(docs: DataFrame) -> DataFrame:
             short = (regs & np.uint64(0xFFFF)).astype("<u2")
             return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([s.tobytes() for s in short], pa.binary()), pa.array(list(bands(regs)), pa.list_(pa.int64()))], ["node", "short", "keys"])
 
+        seen: set[bytes] = set()
         for batch in batches:
             nodes, sets, size = [], [], 0
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if node in seen:
+                    continue  # a copy that this task has signed
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
                 h, w = weighted(text.as_py() or "")
                 if not len(h):
                     continue
@@ -127,34 +138,36 @@ def candidates(sigs: DataFrame) -> DataFrame:
     """(a, b) edges between nodes whose registers agree enough, through shared bands."""
     rows = sigs.select("node", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    met = rows.join(shared, "key").select("key", "node", "size")
-    dealt = blocked(met, "key", "node", F.col("size")).drop("size").join(sigs.select("node", "short"), "node")
-    return grouped_edges(dealt, ["key", "_i", "_j"], "node", "short", lambda x: np.frombuffer(x, "<u2"), _sifted)
+    met = rows.join(shared.select("key"), "key").select("key", "node", F.lit(2 * REGISTERS).alias("bytes"))
+    return group_edges(met, "key", "node", "bytes", lambda x: x.join(sigs.select("node", "short"), "node"), "short", lambda x: np.frombuffer(x, "<u2"), _sifted)
 
 
 def _nodes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(_key, node) of every row, and (node, _first, root) of every text: its least key and its class."""
     base = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), text_key(text).alias("node"))
     named = stored(base.select("_key", "node"), "nodes")
-    first = named.groupBy("node").agg(F.min("_key").alias("_first"))
+    first = named.groupBy("node").agg(F.min("_key").alias("_first"), F.count("*").alias("_copies"))
     made = signatures(base.select("node", "_text"))
     sigs = stored(made.groupBy("node").agg(F.first("short").alias("short"), F.first("keys").alias("keys")), "signatures")
     near = stored(components(candidates(sigs)), "candidates")
-    sizes = near.groupBy("root").agg(F.count("*").alias("size"))
-    members = stored(near.join(sizes, "root").join(first, "node").select(F.col("root").alias("group"), "node", "size", "_first"), "members")
+    members = stored(near.join(first, "node").select(F.col("root").alias("group"), "node", "_first"), "members")
     # Merged by sorting at any size: the list of members grows with the corpus, so it is no side to broadcast.
-    texts = base.hint("merge").join(members.select("group", "size", F.col("node").alias("_n"), "_first"), (F.col("node") == F.col("_n")) & F.col("_key").eqNullSafe(F.col("_first"))).select("group", "size", "node", "_text")
-    links = grouped_edges(blocked(texts, "group", "node", F.col("size")).drop("size"), ["group", "_i", "_j"], "node", "_text", lambda t: np.unique(shingles(t.split())), _verified)
+    held = (F.col("node") == F.col("_n")) & F.col("_key").eqNullSafe(F.col("_first"))
+    texts = stored(base.hint("merge").join(members.select("group", F.col("node").alias("_n"), "_first"), held).select("group", "node", "_text", F.octet_length("_text").alias("bytes")).dropDuplicates(["group", "node"]), "texts")
+    own = texts.select(F.col("group").alias("_group"), F.col("node").alias("_n"), "_text")
+    load = lambda x: x.join(own, (F.col("group") == F.col("_group")) & (F.col("node") == F.col("_n"))).drop("_group", "_n")
+    links = group_edges(texts.select("group", "node", "bytes"), "group", "node", "bytes", load, "_text", lambda t: np.unique(shingles(t.split())), _verified)
     roots = components(links)
-    of_node = first.join(roots, "node", "left").select("node", "_first", F.coalesce("root", "node").alias("root"))
+    of_node = first.join(roots, "node", "left").select("node", "_first", "_copies", F.coalesce("root", "node").alias("root"))
     return named, stored(of_node, "classes")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, class_id: every row with the least key of its class of near-duplicates (null if none of it has a key)."""
+    """key, class_id and class_size: every row with the least key of its class of near-duplicates (null if none of it has
+    a key), and the rows of that class."""
     named, of_node = _nodes(docs, key, text)
-    ids = of_node.groupBy("root").agg(F.min("_first").alias("class_id"))
-    return named.join(of_node.join(ids, "root").select("node", "class_id"), "node").select(F.col("_key").alias(key), "class_id")
+    ids = of_node.groupBy("root").agg(F.min("_first").alias("class_id"), F.sum("_copies").alias("class_size"))
+    return named.join(of_node.join(ids, "root").select("node", "class_id", "class_size"), "node").select(F.col("_key").alias(key), "class_id", "class_size")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,6 +178,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     _, of_node = _nodes(docs, key, text)
     order = F.struct(F.col("_first").isNull().alias("no_key"), F.col("_first").alias("key"), F.col("node").alias("node"))
     kept = of_node.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.key").alias("_kept"), F.col("x.node").alias("_kept_node"))
-    rows = docs.withColumn("_row_node", text_key(text))
-    stay = rows.join(kept, (F.col("_row_node") == F.col("_kept_node")) & F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
-    return stay.dropDuplicates([key, "_row_node"]).drop("_row_node")
+    own, k, n = (unused(c, docs.columns) for c in ("_own", "_kept", "_kept_node"))
+    rows = docs.withColumn(own, text_key(text))
+    stay = rows.join(kept.toDF(k, n), (F.col(own) == F.col(n)) & F.col(key).eqNullSafe(F.col(k)), "left_semi")
+    return stay.dropDuplicates([key, own]).drop(own)

@@ -228,15 +228,32 @@ def near_corpus(seed, n_base, copies):
 def test_near_classes_are_those_of_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(links, "BLOCK", block)
     texts = near_corpus(4, 12, 14)
-    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], "doc_id long, text string, node string, size int")
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+    docs = spark.createDataFrame([(i, t, "k", 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, node string, size int, _row_node int, _kept int")
+    rows, want = near_dedup.near_classes(docs).collect(), brute_classes(texts)
+    got = {r["doc_id"]: r["class_id"] for r in rows}
+    assert [got[i] for i in range(len(texts))] == want
+    assert all(r["class_size"] == want.count(r["class_id"]) for r in rows)
     if block == 2000:
         left = near_dedup.deduplicated(docs.unionByName(docs))
         assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(set(brute_classes(texts)))
         assert near_dedup.near_classes(docs.limit(0)).count() == 0
 
 
+def test_a_chain_over_many_blocks_is_one_class(spark, monkeypatch):
+    """Near copies of near copies, with long texts among them, in blocks of few rows and few bytes."""
+    monkeypatch.setattr(links, "BLOCK", 4)
+    monkeypatch.setattr(links, "BLOCK_BYTES", 9_000)
+    r, texts = random.Random(26), []
+    for n in (60, 400):
+        w = words(r, n)
+        for _ in range(25):
+            texts.append(" ".join(w))
+            w[r.randrange(n)] = words(r, 1)[0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
 def test_near_copies_with_repeated_passages_are_found(spark):
     r, texts = random.Random(25), []
     for times in (1, 5, 50, 50, 50, 200, 200, 200):
