@@ -9,11 +9,13 @@ k-th best one (however many: in a dense cluster estimates cannot tell entries ap
 The model is fitted on SAMPLE rows at most (those of least hash); every row is indexed. Cells are probed in order of
 the query's product with their centres; how many is the least number that held TARGET of the sample's true neighbours
 (at this data's weak clustering most cells, so it is a scan by blocks; on clustered data few). Equal vectors are one
-entry with its k + 1 smallest ids, so a vector that very many rows share costs one scan. Work goes by blocks of
-BLOCK entries by QBLOCK distinct queries.
+entry with its k + 1 smallest ids, so a vector that very many rows share costs one scan. Entries stay in blocks of BLOCK
+or so, each in one task; queries go to the blocks that hold a cell they probe and stream through these tasks in batches,
+so no entry is copied and a task's memory is that of its block.
 
 Rows with a null id, and vectors that are null, empty, zero, of other length than most, or hold null or non-finite
-components take no part. Rows repeated with the same id and vector count once. Ties go to the smaller id.
+components take no part. Rows repeated with the same id and vector count once; an id with several vectors is one
+candidate for each. Ties go to the smaller id. An empty table gives an empty result, and extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from foldstone.llm.common import stored
 
 SAMPLE, CELLS, TARGET = 20_000, 1024, 0.985
-BLOCK, QBLOCK, REACH = 8192, 4096, 3.0
+BLOCK, REACH = 4096, 3.0
+#: Queries that a task scores at once.
+AT_ONCE = 64
 #: Inner products that count as large are over THRESHOLD times the norm.
 THRESHOLD = 0.2
 ROUNDS, WORDS = 6, 16
@@ -170,7 +173,7 @@ class Model:
         return out
 
 
-def _matrix(cells: pd.Series, kind: str) -> np.ndarray:
+def _matrix(cells: list[bytes], kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(cells), kind).reshape(len(cells), -1)
 
 
@@ -188,7 +191,7 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", v
     one = usable.groupBy("_k").agg(F.first("vec").alias("vec"))
     flagged = one.join(entries, "_k").join(asked.select("_k").distinct().withColumn("_q", F.lit(True)), "_k", "left")
     distinct = stored(flagged.withColumn("_q", F.coalesce("_q", F.lit(False))), "entries")
-    count, queries = distinct.agg(F.count("*"), F.count(F.when(F.col("_q"), 1))).first()
+    count = distinct.count()
     sample = distinct.select("vec", F.xxhash64("_k").alias("h")).orderBy("h").limit(SAMPLE).collect()
     model = Model(np.stack([np.frombuffer(r["vec"], "<f8") for r in sample]), count, k)
 
@@ -213,7 +216,6 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", v
             block, room = block + int(parts[c]), BLOCK
         else:
             room -= n
-    qblocks = max(1, -(-queries // QBLOCK))
     least = 20 * (k + 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,34 +229,59 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", v
     lookup = F.array(*[F.lit(int(x)) for x in first_block])
     split = F.array(*[F.lit(int(x)) for x in parts])
     home = (F.element_at(lookup, F.col("cell") + 1) + F.pmod(F.xxhash64("_k"), F.element_at(split, F.col("cell") + 1))).cast("int")
-    dealt = index.select("vec", "ids", "cell", "codes", home.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("qblock"))
-    asking = index.filter("_q").select("_k", "vec").mapInArrow(ask, "_k binary, vec binary, blocks array<int>").select("_k", "vec", F.explode("blocks").alias("block"), F.pmod(F.xxhash64("_k"), F.lit(qblocks)).cast("int").alias("qblock"))
-
-    def best(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(have) and len(want):
-            have = have.assign(_first=[v[0] for v in have["ids"]]).sort_values("_first", kind="stable")
-            cells, codes, x = have["cell"].to_numpy(), _matrix(have["codes"], np.uint8), _matrix(have["vec"], "<f8")
-            ids, keys = list(have["ids"]), list(want["_k"])
-            q = _matrix(want["vec"], "<f8")
+    have = index.select(home.alias("block"), F.lit(0).alias("kind"), F.col("ids")[0].alias("first"), "_k", "vec", "ids", "cell", "codes")
+    want = index.filter("_q").select("_k", "vec").mapInArrow(ask, "_k binary, vec binary, blocks array<int>")
+    want = want.select(F.explode("blocks").alias("block"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first"), "_k", "vec")
+    met = have.unionByName(want, allowMissingColumns=True)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: int | None = None
+        parts: list[tuple] = []  # entries of the block: they come before its queries, in order of their least ids
+        block: tuple | None = None
+
+        def scored(keys: list[bytes], q: np.ndarray) -> list[tuple]:
+            x, cells, codes, ids = block
+            out: list[tuple] = []
             short = min(k + 1, len(x))
-            lengths = np.linalg.norm(q, axis=1)
-            for s in range(0, len(q), 64):
-                part = q[s : s + 64]
-                got = np.where(model.probed(part, sizes, least)[:, cells], model.scan(part, cells, codes), -np.inf)
-                least_good = -np.partition(-got, short - 1, 1)[:, short - 1] - REACH * model.error * lengths[s : s + 64]
-                for i, bar in enumerate(least_good):
-                    row = np.flatnonzero((got[i] >= bar) & np.isfinite(got[i]))
-                    exact = (x[row] * part[i]).sum(1)
-                    took = 0
-                    for j in np.lexsort((row, -exact)):
-                        if took > k:
-                            break
-                        out += [(keys[s + i], int(v), float(exact[j])) for v in ids[row[j]]]
-                        took += len(ids[row[j]])
-        return pd.DataFrame(out, columns=["_k", "vec_id", "score"])
-
-    found = dealt.groupBy("block", "qblock").cogroup(asking.groupBy("block", "qblock")).applyInPandas(best, "_k binary, vec_id long, score double")
+            got = np.where(model.probed(q, sizes, least)[:, cells], model.scan(q, cells, codes), -np.inf)
+            bars = -np.partition(-got, short - 1, 1)[:, short - 1] - REACH * model.error * np.linalg.norm(q, axis=1)
+            for i, bar in enumerate(bars):
+                row = np.flatnonzero((got[i] >= bar) & np.isfinite(got[i]))
+                exact = (x[row] * q[i]).sum(1)
+                took = 0
+                for j in np.lexsort((row, -exact)):
+                    if took > k:
+                        break
+                    out += [(keys[i], int(v), float(exact[j])) for v in ids[row[j]]]
+                    took += len(ids[row[j]])
+            return out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.append(True, (blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])))
+            found: list[tuple] = []
+            for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows], strict=True):
+                if blocks[s] != at:
+                    at, parts, block = blocks[s], [], None
+                part = batch.slice(s, e - s)
+                vec = _matrix(part.column("vec").to_pylist(), "<f8")
+                if not kinds[s]:
+                    parts.append((vec, part.column("cell").to_numpy(), _matrix(part.column("codes").to_pylist(), np.uint8), part.column("ids").to_pylist()))
+                    continue
+                if not parts and block is None:
+                    continue  # no entry fell into this block
+                if block is None:
+                    block = (*[np.concatenate([p[i] for p in parts]) for i in range(3)], [v for p in parts for v in p[3]])
+                    parts = []
+                keys = part.column("_k").to_pylist()
+                for i in range(0, len(keys), AT_ONCE):
+                    found += scored(keys[i : i + AT_ONCE], vec[i : i + AT_ONCE])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.binary(), pa.int64(), pa.float64()), strict=True)], ["_k", "vec_id", "score"])
+
+    found = met.repartition("block").sortWithinPartitions("block", "kind", "first").mapInArrow(best, "_k binary, vec_id long, score double")
     order = Window.partitionBy("_k").orderBy(F.desc("score"), "vec_id")
     kept = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1)
     lists = kept.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_n", "vec_id", "score"))).alias("near"))
