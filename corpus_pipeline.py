@@ -1,6 +1,12 @@
 """The corpus pipeline: quality rules, near-dedup, substring dedup, mixing, packing, each on what the one before kept.
 
 Every stage takes (spark, docs, sf_dir); run() writes each result as Parquet to the shared folder and reads it again.
+
+A row is its id, language, source and text. Null ids, and ids that repeat with other texts, keep their rows apart in every
+stage; rows alike share their fate, and of near-duplicates one row stays. Null and empty texts fail the quality rules.
+Texts may be of any length and columns beyond those of `documents` may have any name but those starting with
+`_pipeline`; they are carried along up to packing, which returns pieces. Ties go to the least id, then to the least digest
+of the text. An empty table passes through every stage as an empty table.
 """
 
 from __future__ import annotations
@@ -18,6 +24,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Most tokens, as a multiple of the source's, that mixing takes of any source.
 MAX_EPOCHS = 2
+#: The vocabulary whose tokens are mixed and packed.
+TOKENIZER = "byte_bpe_50k.json"
 #: Names, that no table has, of a row's digest and of those that a stage picks.
 ROW, PICKED = "_pipeline_row", "_pipeline_picked"
 
@@ -51,13 +59,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     levels = [mixing.source_domain("source"), F.col("lang"), F.col("source")]
     named = rows(docs)
-    picked = mixing.mix(named, mixing.word_tokens("text"), levels, max_epochs=MAX_EPOCHS, key=ROW).select(F.col(ROW).alias(PICKED), "epoch").distinct().drop("epoch")
+    picked = mixing.mix(named, public_tokenizers.path(TOKENIZER), levels, max_epochs=MAX_EPOCHS, key=ROW).select(F.col(ROW).alias(PICKED), "epoch").distinct().drop("epoch")
     return named.join(picked, F.col(ROW) == F.col(PICKED)).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids packed into sequences of 2048."""
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -68,7 +76,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", sequences),
 ]
 
-#: SQL can express neither shingle classes nor tokens; tests/llm compares near-dedup with brute force and holds the other stages to invariants.
+#: SQL can express neither shingle classes nor tokens; tests/llm compares the stages with brute force on small tables.
 ORACLE_SQL = None
 
 
