@@ -50,10 +50,16 @@ def fp_table(resp: DataFrame, state: DataFrame | None = None) -> DataFrame:
 
 
 def unique_pages(pages: DataFrame) -> DataFrame:
-    """First page of every fingerprint. Only (fingerprint, seq) is aggregated; the bytes are joined back once."""
+    """First page of every fingerprint. Only (fingerprint, seq) is aggregated; other columns are joined back once."""
     first = pages.groupBy("fingerprint").agg(F.min("seq").alias("seq"))
+    if set(pages.columns) == {"fingerprint", "seq"}:
+        return first.select(*pages.columns)
     return pages.join(first, ["fingerprint", "seq"], "left_semi")
 
 
-def read_back(reads: DataFrame, store: DataFrame) -> DataFrame:
-    return reads.join(store, "fingerprint", "left")
+def read_back(resp: DataFrame) -> DataFrame:
+    """(seq, fingerprint, stored_seq) of every read: the write whose page lies at the address that the read got, which is
+    the one that stored the life it falls into; null for reads that miss, before the first write or after the last erase."""
+    store = resp.filter("op = 'WRITE2FREE' and is_exec").select(F.col("ssd_lba").alias("_lba"), F.col("seq").alias("stored_seq"))
+    reads = resp.filter("op = 'READSSD'").select("seq", "fingerprint", "ssd_lba")
+    return reads.join(store, F.col("ssd_lba") == F.col("_lba"), "left").select("seq", "fingerprint", "stored_seq")

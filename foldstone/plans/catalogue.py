@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldstone.config import CHORD, HOP_NODES, NEAREST, DedupConfig
+from foldstone.config import CHORD, HOP_NODES, LIVE_OPS, NEAREST, DedupConfig
 from foldstone.functions.crc import VARIANTS, crc_hex
 from foldstone.functions.fingerprint import bloom_mask, bucket_index, routing_key, sha3_256_hex, sha256_hex
 from foldstone.functions.numbering import row_numbers
@@ -73,7 +73,7 @@ def page_fingerprint_sha3(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op_decode_dispatch(spark: SparkSession, d: str) -> DataFrame:
     write = F.col("op") == "WRITE2FREE"
-    return _ops(spark, d).select(
+    return _ops(spark, d).filter(F.col("op").isin(*LIVE_OPS)).select(
         "seq",
         "op",
         write.alias("needs_digest"),
@@ -232,7 +232,8 @@ def in_order_retire(spark: SparkSession, d: str) -> DataFrame:
 @query
 def dedup_ratio_by_source(spark: SparkSession, d: str) -> DataFrame:
     per = _pages(spark, d).groupBy("source", "fingerprint").agg(F.count("*").alias("n"))
-    return per.groupBy("source").agg(F.sum("n").alias("pages"), F.count("*").alias("unique_pages")).withColumn("bytes_saved", (F.col("pages") - F.col("unique_pages")) * DedupConfig().page_size)
+    sums = per.groupBy("source").agg(F.sum("n").alias("pages"), F.count("*").alias("unique_pages"))
+    return sums.withColumn("bytes_saved", (F.col("pages") - F.col("unique_pages")) * DedupConfig().page_size).withColumn("dedup_ratio", F.col("pages").cast("double") / F.col("unique_pages"))
 
 
 @query
@@ -253,9 +254,7 @@ def storage_op_mix(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def read_back_pages(spark: SparkSession, d: str) -> DataFrame:
-    ops = _ops(spark, d)
-    store = ops.filter("op = 'WRITE2FREE'").groupBy("fingerprint").agg(F.min("seq").alias("stored_seq"))
-    return storage.read_back(ops.filter("op = 'READSSD'").select("seq", "fingerprint"), store).select("seq", "fingerprint", "stored_seq")
+    return storage.read_back(responses_full(spark, d))
 
 
 @query

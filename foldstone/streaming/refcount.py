@@ -7,8 +7,10 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from foldstone.config import LIVE_OPS
 from foldstone.sources.shared import shared_folder
 
 OUT = "seq long, op string, fingerprint string, ref_count long, hit boolean"
@@ -22,13 +24,18 @@ def _step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Itera
     m = s.cummin().clip(upper=low)
     count = s - m
     before = count.shift(fill_value=total - low)
-    state.update((int(s.iloc[-1]), int(m.iloc[-1])))
+    if count.iloc[-1]:
+        state.update((int(s.iloc[-1]), int(m.iloc[-1])))
+    elif state.exists:
+        state.remove()  # a count of nothing is where a fingerprint starts
     yield pdf.assign(ref_count=count, hit=before > 0)[["seq", "op", "fingerprint", "ref_count", "hit"]]
 
 
 def counted_stream(ops: DataFrame) -> DataFrame:
-    """ops: a streaming frame in which no later batch holds a smaller seq of the same fingerprint."""
-    return ops.select("seq", "op", "fingerprint").groupBy("fingerprint").applyInPandasWithState(_step, OUT, "total long, low long", "append", GroupStateTimeout.NoTimeout)
+    """ops: a streaming frame in which no later batch holds a smaller seq of the same fingerprint. As in a batch, NOP and
+    unknown operations, and those without a fingerprint, give no row; a fingerprint whose count is 0 keeps no state."""
+    live = ops.filter(F.col("op").isin(*LIVE_OPS) & F.col("fingerprint").isNotNull())
+    return live.select("seq", "op", "fingerprint").groupBy("fingerprint").applyInPandasWithState(_step, OUT, "total long, low long", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(spark: SparkSession, ops: DataFrame) -> DataFrame:
