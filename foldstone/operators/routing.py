@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldstone.config import RoutingTable
 from foldstone.functions.fingerprint import ring
+from foldstone.functions.numbering import row_numbers
 
 
 def inside(h: Column, start: int, length: int, bits: int) -> Column:
@@ -74,3 +75,10 @@ def hops(df: DataFrame, h: str, src: str, nodes: dict[int, RoutingTable], limit:
     for _ in range(min(limit, len(nodes))):
         out = out.withColumn("_next", step(F.col("final_node"))).withColumn("hops", F.col("hops") + (F.col("_next") != F.col("final_node")).cast("int")).withColumn("final_node", F.col("_next")).drop("_next")
     return out
+
+
+def dealt(packets: DataFrame, block: Column, order: list[Column], n: int, m: int = 1) -> DataFrame:
+    """packets with the channel, of n, that each goes to: m packets in a row to each channel in turn. Numbered in blocks
+    (see row_numbers), so no task sees all packets."""
+    out = row_numbers(packets, block, order, "channel", start=0)
+    return out.withColumn("channel", F.pmod(F.floor(F.col("channel") / m), F.lit(n)).cast("int"))

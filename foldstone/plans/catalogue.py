@@ -209,6 +209,12 @@ def route_multi_hop(spark: SparkSession, d: str) -> DataFrame:
     return routing.hops(at, "h", "src_node", HOP_NODES)
 
 
+@query
+def deal_round_robin(spark: SparkSession, d: str) -> DataFrame:
+    """Pages in input order, dealt to four channels, two in a row to each."""
+    return routing.dealt(_pages(spark, d).select("seq", "fingerprint"), F.floor(F.col("seq") / refcount.PAGE_BLOCK), [F.col("seq")], 4, 2)
+
+
 @query
 def node_load(spark: SparkSession, d: str) -> DataFrame:
     """Counted by fingerprint first: a node may own a third of all pages."""
@@ -241,6 +247,14 @@ def refcount_histogram(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).groupBy("fingerprint").agg(F.count("*").alias("ref_count")).groupBy("ref_count").agg(F.count("*").alias("fingerprints"))
 
 
+@query
+def page_lives(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that were ever stored, those that are live after all operations, and those whose last reference went."""
+    per = refcount_mixed_ops(spark, d).groupBy("fingerprint").agg(F.max_by("ref_count", "seq").alias("n"), F.max("is_alloc").alias("stored"))
+    held = F.col("n") > 0
+    return per.agg(F.count(F.when(F.col("stored"), 1)).alias("unique_pages"), F.count(F.when(held, 1)).alias("live_pages"), F.count(F.when(F.col("stored") & ~held, 1)).alias("dead_pages"))
+
+
 @query
 def cross_source_overlap(spark: SparkSession, d: str) -> DataFrame:
     per = _pages(spark, d).groupBy("fingerprint", "source").agg(F.count("*").alias("n"))

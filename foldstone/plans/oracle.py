@@ -123,11 +123,13 @@ SQL: dict[str, str] = {
     "route_result_nearest": f"SELECT event_id AS seq, (user_id % 16)::INT AS dst_node, ({result('(user_id % 16)', NEAREST)})::INT AS channel FROM events",
     "route_result_chord": f"SELECT event_id AS seq, (user_id % 16)::INT AS dst_node, ({result('(user_id % 16)', CHORD)})::INT AS channel FROM events",
     "route_multi_hop": hop_sql(),
+    "deal_round_robin": f"WITH {DOCS} SELECT seq, fingerprint, (((row_number() OVER (ORDER BY seq) - 1) // 2) % 4)::INT AS channel FROM pg",
     "node_load": f"WITH {DOCS} SELECT {NODE}::INT AS node_idx, count(*) AS pages, count(DISTINCT fingerprint) AS fingerprints FROM pg GROUP BY 1",
     "merge_local_remote": f"WITH {OPS} SELECT seq, op, fingerprint, (user_node % 4)::INT AS src_node, user_node % 4 = 0 AS is_local FROM (SELECT *, host_data_node AS user_node FROM ops)",
     "in_order_retire": f"WITH {COUNTED} SELECT row_number() OVER (ORDER BY seq)::BIGINT AS slot, seq, op, ref_count FROM counted",
     "dedup_ratio_by_source": f"WITH {DOCS} SELECT source, count(*) AS pages, count(DISTINCT fingerprint) AS unique_pages, (count(*) - count(DISTINCT fingerprint)) * 4096 AS bytes_saved, count(*)::DOUBLE / count(DISTINCT fingerprint) AS dedup_ratio FROM pg GROUP BY 1",
     "refcount_histogram": f"WITH {DOCS}, c AS (SELECT fingerprint, count(*) AS ref_count FROM pg GROUP BY 1) SELECT ref_count, count(*) AS fingerprints FROM c GROUP BY 1",
+    "page_lives": f"WITH {COUNTED}, c AS (SELECT fingerprint, arg_max(ref_count, seq) AS n, bool_or(is_alloc) AS stored FROM counted GROUP BY 1) SELECT count(*) FILTER (WHERE stored) AS unique_pages, count(*) FILTER (WHERE n > 0) AS live_pages, count(*) FILTER (WHERE stored AND n = 0) AS dead_pages FROM c",
     "cross_source_overlap": f"WITH {DOCS}, c AS (SELECT fingerprint, count(DISTINCT source) AS sources, count(*) AS pages FROM pg GROUP BY 1) SELECT fingerprint, sources, pages FROM c WHERE sources > 1",
     "storage_op_mix": f"WITH {RESPONSES} SELECT op, is_exec, hit, count(*) AS ops FROM resp GROUP BY ALL",
     "read_back_pages": f"WITH {COUNTED}, lives AS (SELECT fingerprint, seq AS stored_seq FROM counted WHERE is_alloc) SELECT r.seq, r.fingerprint, (CASE WHEN r.hit THEN l.stored_seq END)::BIGINT AS stored_seq FROM counted r ASOF LEFT JOIN lives l ON r.fingerprint = l.fingerprint AND r.seq >= l.stored_seq WHERE r.op = 'READSSD'",

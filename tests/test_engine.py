@@ -116,6 +116,12 @@ def test_routing_over_the_ring(spark, t):
     assert all(r["c"] == ring_model(r["id"], t) for r in got)
 
 
+@pytest.mark.parametrize(("n", "m"), [(3, 1), (4, 2), (1, 5)])
+def test_packets_are_dealt_in_turn(spark, n, m):
+    got = routing.dealt(spark.range(0, 700, 7).select(F.col("id").alias("seq")), F.floor(F.col("seq") / 64), [F.col("seq")], n, m).orderBy("seq").collect()
+    assert [r["channel"] for r in got] == [i // m % n for i in range(100)]
+
+
 def test_hops_end_at_the_owner(spark):
     df = spark.range(0, 65536, 1001).select(F.col("id").cast("int").alias("h"), F.lit(1).alias("src"))
     for r in routing.hops(df, "h", "src", HOP_NODES).collect():
