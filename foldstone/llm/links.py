@@ -1,4 +1,5 @@
-"""Classes of linked rows: inside groups that fit a task, and over a whole graph."""
+"""Classes of linked rows: inside groups that fit a task, and over a whole graph. No side of a join is broadcast: all grow
+with the corpus."""
 
 from __future__ import annotations
 
@@ -20,7 +21,7 @@ def sized(rows: DataFrame, group: str, weight: Column) -> DataFrame:
     """rows with `blocks`: how many blocks their group takes, by its rows and by the weight (bytes) of its payload."""
     sums = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_c"), F.sum(weight).alias("_w"))
     count = F.greatest(F.ceil(F.col("_c") / F.lit(BLOCK)), F.ceil(F.col("_w") / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
-    return rows.join(sums.select("_g", count.alias("blocks")), F.col(group) == F.col("_g")).drop("_g")
+    return rows.hint("merge").join(sums.select("_g", count.alias("blocks")), F.col(group) == F.col("_g")).drop("_g")
 
 
 def own_blocks(rows: DataFrame, group: str, node: str) -> DataFrame:
@@ -56,13 +57,13 @@ def group_edges(rows: DataFrame, group: str, node: str, weight: str, load_rows:
         return first.select("a", "b")
     first = stored(first, "block-edges")
     followers = first.select(F.col("of").alias("_of"), F.col("a").alias("_a"))
-    leaders = many.drop("blocks").join(followers, (F.col(group) == F.col("_of")) & (F.col(node) == F.col("_a")), "left_anti")
+    leaders = many.drop("blocks").hint("merge").join(followers, (F.col(group) == F.col("_of")) & (F.col(node) == F.col("_a")), "left_anti")
     both = first.unionByName(stored(edges(pairs_of_blocks(sized(leaders, group, F.col(weight)), group, node)), "leader-edges"))
     roots = components(both.select("a", "b")).select(F.col("node").alias("_node"), "root")
-    rooted = many.join(roots, F.col(node) == F.col("_node"), "left").withColumn("root", F.coalesce("root", F.col(node)))
+    rooted = many.hint("merge").join(roots, F.col(node) == F.col("_node"), "left").withColumn("root", F.coalesce("root", F.col(node)))
     split = stored(rooted.groupBy(F.col(group).alias("_g")).agg((F.min("root") != F.max("root")).alias("_open")).filter("_open").select("_g"), "split-groups")
     if not split.isEmpty():
-        both = both.unionByName(edges(pairs_of_blocks(many.join(split, F.col(group) == F.col("_g"), "left_semi"), group, node)))
+        both = both.unionByName(edges(pairs_of_blocks(many.hint("merge").join(split, F.col(group) == F.col("_g"), "left_semi"), group, node)))
     return both.select("a", "b")
 
 
@@ -159,8 +160,8 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.hint("merge").join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
+        small = large.hint("merge").join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         e = stored(small.filter("a <> b").distinct(), "edges")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -15,6 +15,9 @@ and stays under SIFT about as rarely.
 Equal texts are one node from the start, so copies cost nothing later. Groups are compared in blocks bounded in rows and
 bytes (links.py); a large group of copies of one text costs its blocks, not their square.
 
+All joins are merged by sorting, whatever the sizes: every side grows with the corpus, and Spark takes a packed table, or
+one with a list of keys in each row, for much smaller than its rows are on the driver that would broadcast them.
+
 Null text counts as empty; texts without words equal each other only if they are the same characters; texts may be of any
 length, a text's shingles have to fit a task. Rows that repeat an id and text each get the same class; null ids are given
 the class of their text. Ties do not arise: the least id of a class names it, and where ids repeat the digest of the text
@@ -138,8 +141,8 @@ def candidates(sigs: DataFrame) -> DataFrame:
     """(a, b) edges between nodes whose registers agree enough, through shared bands."""
     rows = sigs.select("node", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    met = rows.join(shared.select("key"), "key").select("key", "node", F.lit(2 * REGISTERS).alias("bytes"))
-    return group_edges(met, "key", "node", "bytes", lambda x: x.join(sigs.select("node", "short"), "node"), "short", lambda x: np.frombuffer(x, "<u2"), _sifted)
+    met = rows.hint("merge").join(shared.select("key"), "key").select("key", "node", F.lit(2 * REGISTERS).alias("bytes"))
+    return group_edges(met, "key", "node", "bytes", lambda x: x.hint("merge").join(sigs.select("node", "short"), "node"), "short", lambda x: np.frombuffer(x, "<u2"), _sifted)
 
 
 def _nodes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -150,15 +153,14 @@ def _nodes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     made = signatures(base.select("node", "_text"))
     sigs = stored(made.groupBy("node").agg(F.first("short").alias("short"), F.first("keys").alias("keys")), "signatures")
     near = stored(components(candidates(sigs)), "candidates")
-    members = stored(near.join(first, "node").select(F.col("root").alias("group"), "node", "_first"), "members")
-    # Merged by sorting at any size: the list of members grows with the corpus, so it is no side to broadcast.
+    members = stored(near.hint("merge").join(first, "node").select(F.col("root").alias("group"), "node", "_first"), "members")
     held = (F.col("node") == F.col("_n")) & F.col("_key").eqNullSafe(F.col("_first"))
     texts = stored(base.hint("merge").join(members.select("group", F.col("node").alias("_n"), "_first"), held).select("group", "node", "_text", F.octet_length("_text").alias("bytes")).dropDuplicates(["group", "node"]), "texts")
     own = texts.select(F.col("group").alias("_group"), F.col("node").alias("_n"), "_text")
-    load = lambda x: x.join(own, (F.col("group") == F.col("_group")) & (F.col("node") == F.col("_n"))).drop("_group", "_n")
+    load = lambda x: x.hint("merge").join(own, (F.col("group") == F.col("_group")) & (F.col("node") == F.col("_n"))).drop("_group", "_n")
     links = group_edges(texts.select("group", "node", "bytes"), "group", "node", "bytes", load, "_text", lambda t: np.unique(shingles(t.split())), _verified)
     roots = components(links)
-    of_node = first.join(roots, "node", "left").select("node", "_first", "_copies", F.coalesce("root", "node").alias("root"))
+    of_node = first.hint("merge").join(roots, "node", "left").select("node", "_first", "_copies", F.coalesce("root", "node").alias("root"))
     return named, stored(of_node, "classes")
 
 
@@ -167,7 +169,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     a key), and the rows of that class."""
     named, of_node = _nodes(docs, key, text)
     ids = of_node.groupBy("root").agg(F.min("_first").alias("class_id"), F.sum("_copies").alias("class_size"))
-    return named.join(of_node.join(ids, "root").select("node", "class_id", "class_size"), "node").select(F.col("_key").alias(key), "class_id", "class_size")
+    return named.hint("merge").join(of_node.hint("merge").join(ids, "root").select("node", "class_id", "class_size"), "node").select(F.col("_key").alias(key), "class_id", "class_size")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,5 +182,5 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     kept = of_node.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.key").alias("_kept"), F.col("x.node").alias("_kept_node"))
     own, k, n = (unused(c, docs.columns) for c in ("_own", "_kept", "_kept_node"))
     rows = docs.withColumn(own, text_key(text))
-    stay = rows.join(kept.toDF(k, n), (F.col(own) == F.col(n)) & F.col(key).eqNullSafe(F.col(k)), "left_semi")
+    stay = rows.hint("merge").join(kept.toDF(k, n), (F.col(own) == F.col(n)) & F.col(key).eqNullSafe(F.col(k)), "left_semi")
     return stay.dropDuplicates([key, own]).drop(own)

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from foldstone.llm import links, mixing, near_dedup, nearest, sharding, substring_dedup
+from foldstone.llm.common import stored
 from foldstone.llm.shingles import shingles
 
 DATA = "/root/testdata/sf0.01"
@@ -254,6 +255,23 @@ def test_a_chain_over_many_blocks_is_one_class(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_near_classes_broadcast_nothing(spark, monkeypatch):
+    """Tables that grow with the corpus look small to Spark when packed; the driver would hold them."""
+    plans = []
+
+    def kept(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return stored(df, name)
+
+    monkeypatch.setattr(links, "BLOCK", 3)
+    for module in (links, near_dedup):
+        monkeypatch.setattr(module, "stored", kept)
+    docs = spark.createDataFrame(list(enumerate(near_corpus(4, 1, 7))), "doc_id long, text string")
+    plans += [(f.__name__, f(docs)._jdf.queryExecution().executedPlan().toString()) for f in (near_dedup.near_classes, near_dedup.deduplicated)]
+    assert {"candidates", "texts", "edges", "leader-edges", "large-groups"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
+
+
 def test_near_copies_with_repeated_passages_are_found(spark):
     r, texts = random.Random(25), []
     for times in (1, 5, 50, 50, 50, 200, 200, 200):
