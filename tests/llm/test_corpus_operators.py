@@ -502,6 +502,24 @@ def test_exact_passages_in_families_of_variants_are_found(spark):
     assert len(missed) == 0
 
 
+def test_near_partners_between_the_first_and_the_last_of_a_name_are_found(spark):
+    """Texts that share half of a passage with it come first, after and between the two that share it all but a word."""
+    r = random.Random(27)
+    rows, want = [], []
+    for k in range(20):
+        p = words(r, 62)
+        middle = [*p[:31], *words(r, 1), *p[32:]]
+        halves = [[*p[:31], *words(r, 31)] if i % 2 else [*words(r, 32), *p[32:]] for i in range(24)]
+        family = [*halves[:6], middle, *halves[6:], p]
+        rows += [(100 * k + i, " ".join(words(r, 20) + v + words(r, 20))) for i, v in enumerate(family)]
+        want.append((100 * k + 6, 100 * k + len(family) - 1))
+    text = dict(rows)
+    pairs = [(a, b) for a, b in want if substring_dedup.Earlier(text[a]).spans(text[b])]
+    assert len(pairs) == 20
+    got = {(x["source"], x["doc_id"]) for x in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()}
+    assert sorted(set(pairs) - got) == []
+
+
 def test_passages_with_lines_that_recur_in_the_earlier_text_are_found():
     r = random.Random(22)
     p = words(r, 62)
