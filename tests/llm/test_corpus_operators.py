@@ -652,6 +652,21 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0.5 * len(pdf)
 
 
+def test_pipeline_cuts_passages_whose_partner_is_not_next_to_them(spark):
+    """Between the copies, and before them, stand texts with a half of the passage."""
+    r = random.Random(28)
+    texts, want = [], {}
+    for _ in range(8):
+        p = words(r, 62)
+        middle = [*p[:31], *words(r, 1), *p[32:]]
+        halves = [[*p[:31], *words(r, 31)] if i % 2 else [*words(r, 32), *p[32:]] for i in range(12)]
+        texts += [" ".join(words(r, 20) + v + words(r, 20)) for v in (*halves[:6], middle, *halves[6:], p)]
+        want[len(texts) - 1] = 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    left = {x["doc_id"]: len(x["text"].split()) for x in corpus_pipeline.passages(spark, docs, "").collect()}
+    assert {i: left[i] for i in want} == want
+
+
 def test_pipeline_stages_of_odd_tables(spark):
     """Null and repeated ids: every text keeps its own fate, and no row multiplies."""
     r = random.Random(3)
