@@ -520,6 +520,47 @@ def test_near_partners_between_the_first_and_the_last_of_a_name_are_found(spark)
     assert sorted(set(pairs) - got) == []
 
 
+def test_large_families_of_variants_are_searched_whole_without_all_their_pairs(spark, monkeypatch):
+    """Variants of one text with edits of their own, and texts that share a line with them and nothing else: every run
+    that is left has no earlier text with a passage around it, and few pairs were tried for that."""
+    r = random.Random(33)
+    base, rows = words(r, 150), []
+    for i in range(240):
+        v = list(base)
+        for at in r.sample(range(150), 5):
+            v[at] = words(r, 1)[0]
+        rows.append((i, " ".join(v)))
+    rows += [(i, " ".join(words(r, 40) + base[60:100] + words(r, 40))) for i in range(240, 480)]
+    tried, plain = [], substring_dedup.verified
+
+    def verified(pairs, docs):
+        tried.append(pairs.count())
+        return plain(pairs, docs)
+
+    monkeypatch.setattr(substring_dedup, "verified", verified)
+    covered = {i: np.zeros(len(t.split()), bool) for i, t in rows}
+    for x in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        covered[x["doc_id"]][x["start_word"] : x["end_word"]] = True
+    early = [substring_dedup.Earlier(t) for _, t in rows]
+    names = [set(substring_dedup.runs(e.h)[1].tolist()) for e in early]
+    left = 0
+    for i, t in rows:
+        at, name = substring_dedup.runs(early[i].h)
+        bare = [(a, n) for a, n in zip(at.tolist(), name.tolist(), strict=True) if not covered[i][a : a + substring_dedup.RUN + 4].all()]
+        left += len(bare) > 0
+        for j in range(i) if bare and i % 5 == 0 else ():
+            held = [a for a, n in bare if n in names[j]]
+            assert not any(s <= a and a + substring_dedup.RUN + 4 <= e for s, e, _, _ in (early[j].spans(t) if held else ()) for a in held), (i, j)
+    assert left > 240 and sum(tried[1:]) < 20 * 240
+
+
+def test_a_passage_beside_its_widest_gap_is_found():
+    r = random.Random(34)
+    early = words(r, 80)
+    late = [w if i not in (10, 21, 48, 49) else words(r, 1)[0] for i, w in enumerate(early)]
+    assert substring_dedup.Earlier(" ".join(early)).spans(" ".join(late)) == [(22, 80, 22, 80)]
+
+
 def test_passages_with_lines_that_recur_in_the_earlier_text_are_found():
     r = random.Random(22)
     p = words(r, 62)
