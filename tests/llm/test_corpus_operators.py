@@ -1,6 +1,7 @@
 """Sharding, mixing, near-dedup, substring dedup, nearest neighbours and the pipeline against brute force."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -731,3 +732,39 @@ def test_pipeline_stages_of_odd_tables(spark):
 
 def test_shingles_of_short_texts():
     assert len(shingles([])) == 0 and len(shingles(["a"])) == 1 and shingles(["a", "b"])[0] != shingles(["b", "a"])[0]
+
+
+# --- what the steps of an operator leave behind
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    """Steps that follow one another must not take the disk of all together, until the driver collects its garbage."""
+    from pathlib import Path
+
+    from foldstone.llm import common
+
+    folders = [Path(x.getPath()) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in d.rglob("shuffle_*.data")}
+    setting, before = spark.conf.get(common.REMOVED, None), files()
+    rows = spark.range(1000).withColumn("k", F.col("id") % 10).repartition(4, "k").groupBy("k").count()
+    assert sorted(map(tuple, common.stored(rows, "rows").collect())) == [(k, 100) for k in range(10)]
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(common.REMOVED, None) == setting
+
+
+def test_beside_leaves_out_no_run_that_a_passage_may_hold():
+    """Against a plain search for stretches around the run, in rows that go on beyond what beside() sees."""
+    rng = np.random.default_rng(5)
+    wide, seen = 300, substring_dedup.BESIDE
+    met = rng.random((3000, 2 * wide + substring_dedup.RUN)) < rng.choice([0.02, 0.3, 0.6, 0.85, 0.97], (3000, 1))
+    for i in range(0, 3000, 2):  # nothing alike from some place on, on both sides
+        a, b = rng.integers(0, 60, 2)
+        met[i, : wide - a], met[i, wide + substring_dedup.RUN + b :] = False, False
+    met[:, wide : wide + substring_dedup.RUN] = True
+    held = substring_dedup.may_hold(np.array([wide]), met, substring_dedup.LEAST, substring_dedup.GAP)[:, 0]
+    got = substring_dedup.beside(met[:, wide - seen : wide + substring_dedup.RUN + seen])
+    assert not (held & ~got).any() and (~got).sum() > 500
